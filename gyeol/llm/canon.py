@@ -22,6 +22,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gyeol.session import cut_lineage
+
 #: Letters of other scripts drawn like Latin letters.
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj", strict=True))
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХԌԛԜԝаеоѕсіјрухһԁӏ", "ABESIJKMHOPCTYXGqWwaeoscijpyxhdl", strict=True))
@@ -182,34 +184,27 @@ def canonical_forms(strings: DataFrame, col: str) -> DataFrame:
     return keyed.join(built, "sid", "left").select("raw", F.coalesce("canon", F.lit("")).alias("canon"))
 
 
-def with_canonical(df: DataFrame, cols: list[str], suffix: str = "_canon", forms: DataFrame | None = None) -> DataFrame:
-    """``df`` with the consistent form of each column in ``cols`` beside it. Every row is kept."""
-    if forms is None:
-        every = df.select(F.col(cols[0]).alias("s"))
-        for c in cols[1:]:
-            every = every.unionByName(df.select(F.col(c).alias("s")))
-        forms = canonical_forms(every, "s")
-    for c in cols:
-        key, to = f"__raw_{c}", f"__canon_{c}"
-        own = forms.select(F.col("raw").alias(key), F.col("canon").alias(to))
-        df = df.join(own, F.col(c) == F.col(key), "left").withColumn(f"{c}{suffix}", F.coalesce(to, c)).drop(key, to)
-    return df
+def with_canonical(df: DataFrame, col: str, to: str) -> DataFrame:
+    """``df`` with the consistent form of text column ``col`` as column ``to``. Every row is kept.
+
+    The forms are materialised once; rows whose text is stable, the bulk, find no partner and keep their text.
+    """
+    forms = cut_lineage(canonical_forms(df, col)).select(F.col("raw").alias("__raw"), F.col("canon").alias("__canon"))
+    return df.join(forms, F.col(col) == F.col("__raw"), "left").withColumn(to, F.coalesce("__canon", col)).drop("__raw", "__canon")
 
 
-def look_alike_pairs(left: DataFrame, right: DataFrame, on: list[str], same_table: bool) -> DataFrame:
-    """(key_a, key_b) of rows whose ``canon`` and ``on`` agree while ``raw`` differs.
+def look_alike_pairs(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, key_a, key_b) of rows that agree in ``by`` and ``canon`` while their ``raw`` differs.
 
-    Both inputs have key, raw, canon and the columns of ``on``. Distinct spellings are paired first;
-    rows that hold one spelling are joined to that pair afterwards, so that copies of one spelling
-    never meet each other.
+    ``rows`` has by, key, raw, canon and two flags: a row is a first partner where ``in_a``, a second where ``in_b``.
+    Distinct spellings are paired first; rows that hold one spelling are joined to that pair
+    afterwards, so that copies of one spelling never meet each other.
     """
-    by = [*on, "canon"]
-    rows = lambda d, s: d.select(*by, F.col("raw").alias(f"raw_{s}"), F.col("key").alias(f"key_{s}")).distinct()
-    spelled = left.select(*by, "raw").unionByName(right.select(*by, "raw")).distinct()
-    many = spelled.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by)
-    some = spelled.join(many, by, "left_semi")
-    met = some.withColumnRenamed("raw", "raw_a").join(some.withColumnRenamed("raw", "raw_b"), by).where("raw_a <> raw_b")
-    hit = met.join(rows(left, "a"), [*by, "raw_a"]).join(rows(right, "b"), [*by, "raw_b"])
-    if same_table:
-        hit = hit.where("key_a < key_b")
-    return hit.select("key_a", "key_b").distinct()
+    on = [*by, "canon"]
+    spelled = rows.groupBy(*on, "raw").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
+    first = spelled.where("in_a").select(*on, F.col("raw").alias("raw_a"))
+    second = spelled.where("in_b").select(*on, F.col("raw").alias("raw_b"))
+    met = first.join(second, on).where("raw_a <> raw_b")
+    a = rows.where("in_a").select(*on, F.col("raw").alias("raw_a"), F.col("key").alias("key_a")).distinct()
+    b = rows.where("in_b").select(*on, F.col("raw").alias("raw_b"), F.col("key").alias("key_b")).distinct()
+    return met.join(a, [*on, "raw_a"]).join(b, [*on, "raw_b"]).select(*by, "key_a", "key_b").distinct()

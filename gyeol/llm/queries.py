@@ -3,65 +3,45 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyeol.llm import canon, survivors
+from gyeol.llm import canon, leakage, pieces, survivors
 from gyeol.session import table
 
 
-def _p1_inputs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """(on..., key, raw) of each field that p1 compares."""
-    ec = table(spark, d, "event_contract")
-    return {
-        "title": ec.select("corp_code", F.col("id").alias("key"), F.col("title").alias("raw")),
-        "counterparty": ec.select(F.col("id").alias("key"), F.col("counterparty").alias("raw")),
-        "party": table(spark, d, "party").select(F.col("party_id").alias("key"), F.col("party_name").alias("raw")),
-        "file_path": table(spark, d, "document").select(F.col("rcept_no").try_cast("long").alias("key"), F.col("file_path").alias("raw")),
-        "listed_path": table(spark, d, "raw_folder").select(F.col("folder_id").alias("key"), F.col("listed_path").alias("raw")),
-    }
-
-
-def _p1_forms(inputs: dict[str, DataFrame]) -> DataFrame:
-    frames = [x.select("raw") for x in inputs.values()]
-    every = frames[0]
-    for x in frames[1:]:
-        every = every.unionByName(x)
-    return canon.canonical_forms(every, "raw")
+def _p1_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(field, scope, key, raw, in_a, in_b, canon) of all texts that p1 compares, one pass over each table."""
+    ec, doc = table(spark, d, "event_contract"), table(spark, d, "document")
+    yes, no, whole = F.lit(True), F.lit(False), F.lit("")
+    take = lambda df, field, key, raw, in_a, in_b, scope=whole: df.select(F.lit(field).alias("field"), scope.alias("scope"), key.alias("key"), F.col(raw).alias("raw"), in_a.alias("in_a"), in_b.alias("in_b"))
+    parts = [
+        take(ec, "title", F.col("id"), "title", yes, yes, F.col("corp_code")),
+        take(ec, "counterparty", F.col("id"), "counterparty", no, yes),
+        take(table(spark, d, "party"), "counterparty", F.col("party_id"), "party_name", yes, no),
+        take(table(spark, d, "raw_folder"), "file_path", F.col("folder_id"), "listed_path", yes, no),
+        take(doc, "file_path", F.col("rcept_no").try_cast("long"), "file_path", no, yes),
+    ]
+    return canon.with_canonical(reduce(DataFrame.unionByName, parts), "raw", "canon")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    inputs = _p1_inputs(spark, d)
-    forms = _p1_forms(inputs).persist()
-    c = {k: canon.with_canonical(x.where("raw is not null and key is not null"), ["raw"], forms=forms).withColumnRenamed("raw_canon", "canon") for k, x in inputs.items()}
-    pairs = {
-        "title": canon.look_alike_pairs(c["title"].where("corp_code is not null"), c["title"].where("corp_code is not null"), ["corp_code"], same_table=True),
-        "counterparty": canon.look_alike_pairs(c["party"], c["counterparty"], [], same_table=False),
-        "file_path": canon.look_alike_pairs(c["listed_path"], c["file_path"], [], same_table=False),
-    }
-    out = None
-    for field, x in pairs.items():
-        part = x.select(F.lit(field).alias("field"), F.col("key_a").cast("long").alias("key_a"), F.col("key_b").cast("long").alias("key_b"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = _p1_rows(spark, d).where("raw is not null and key is not null and scope is not null")
+    pairs = canon.look_alike_pairs(rows, ["field", "scope"])
+    return pairs.where("field <> 'title' or key_a < key_b").select("field", "key_a", "key_b").distinct()
 
 
 def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
-    """Every row of the compared fields with its consistent form."""
-    inputs = _p1_inputs(spark, d)
-    forms = _p1_forms(inputs).persist()
-    out = None
-    for field, x in inputs.items():
-        part = canon.with_canonical(x, ["raw"], forms=forms).select(F.lit(field).alias("field"), "key", "raw", F.col("raw_canon").alias("canon"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Every text of the compared fields with its consistent form."""
+    return _p1_rows(spark, d).select("field", "key", "raw", "canon")
 
 
 def _contract_versions(spark: SparkSession, d: str) -> DataFrame:
     """event_contract with its group key and the receipt date of its document, one row each."""
     ec = table(spark, d, "event_contract")
-    ec = canon.with_canonical(ec, ["title_norm"]).withColumnRenamed("title_norm_canon", "title_key")
+    ec = canon.with_canonical(ec, "title_norm", "title_key")
     dates = table(spark, d, "document").groupBy("doc_id").agg(F.max_by("rcept_dt", "loaded_at").alias("rcept_dt"))
     return ec.join(dates, "doc_id", "left")
 
@@ -93,8 +73,33 @@ def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivors.best_values(ec, CONTRACT_KEYS, order, fields)
 
 
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every oversized section of holding_item, each with its document's file_path."""
+    rows = table(spark, d, "holding_item").select("doc_id", "section", "seq", "item_name", "item_value", "loaded_at", "id")
+    paths = table(spark, d, "document").groupBy("doc_id").agg(F.max_by("file_path", "loaded_at").alias("file_path"))
+    return pieces.split_sections(rows, paths)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sections that came out as more than one piece."""
+    return p3_pieces(spark, d).where("piece_no = 2").select("doc_id", "section")
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Leaking documents with the leaked spans removed."""
+    return leakage.remove_spans(table(spark, d, "documents"), _leaks(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_canonical": p1_canonical, "p5_found": p5_found, "p5_survivors": p5_survivors}
+    return {"p1_found": p1_found, "p1_canonical": p1_canonical, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p6_cleaned": p6_cleaned}
 
 
 def oracle_sql() -> dict[str, str]:
