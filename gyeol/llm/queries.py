@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyeol.llm import canon, leakage, pieces, survivors
+from gyeol.llm import canon, leakage, mixing, pieces, subjects, survivors
 from gyeol.session import table
 
 
@@ -98,8 +98,37 @@ def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leakage.remove_spans(table(spark, d, "documents"), _leaks(spark, d))
 
 
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    tokens = mixing.count_tokens(table(spark, d, "documents").select("doc_id", "source", "text"), *mixing.tokenizer_file())
+    return mixing.mix(tokens, table(spark, d, "mix_target"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix: each document taken, with its copies."""
+    return _mix(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """What each source was to contribute and does."""
+    return _mix(spark, d)[1]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    open_docs = docs.join(table(spark, d, "subject_label").select("doc_id"), "doc_id", "left_anti")
+    return subjects.assign_subjects(open_docs).select("doc_id", F.explode("subjects").alias("subject")).distinct()
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus by subject: documents and characters of each; a document with several subjects is split evenly."""
+    per = subjects.assign_subjects(table(spark, d, "documents").select("doc_id", "text"))
+    per = per.withColumn("part", 1.0 / F.greatest(F.size("subjects"), F.lit(1)))
+    rows = per.select("doc_id", "n_chars", "part", F.explode(F.when(F.size("subjects") > 0, F.col("subjects")).otherwise(F.array(F.lit("none")))).alias("subject"))
+    return rows.groupBy("subject").agg(F.count("*").alias("n_docs"), F.sum(F.col("n_chars") * F.col("part")).alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_canonical": p1_canonical, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p6_cleaned": p6_cleaned}
+    return {"p1_found": p1_found, "p1_canonical": p1_canonical, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p6_cleaned": p6_cleaned, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
 
 
 def oracle_sql() -> dict[str, str]:
