@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from gyeol.plans import answers, base, lookups, relational, units, wide  # noqa: F401  (registering)
+from gyeol.plans.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-from gyeol.plans import units, wide
-
-Query = Callable[[SparkSession, str], DataFrame]
+_OWN: dict[str, Query] = {
+    "p2_found": units.p2_found,
+    "p2_normalized": units.p2_normalized,
+    "p4_found": wide.p4_found,
+    "p4_wide_contract": wide.p4_wide_contract,
+    "p4_wide_major": wide.p4_wide_major,
+    "p4_wide_holding": wide.p4_wide_holding,
+}
 
 
 def queries() -> dict[str, Query]:
-    return {
-        "p2_found": units.p2_found,
-        "p2_normalized": units.p2_normalized,
-        "p4_found": wide.p4_found,
-        "p4_wide_contract": wide.p4_wide_contract,
-        "p4_wide_major": wide.p4_wide_major,
-        "p4_wide_holding": wide.p4_wide_holding,
-    }
+    return _OWN | base.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.ORACLES)
