@@ -15,10 +15,12 @@ SQ = r"regexp_replace(item_name, '[\s\x{00a0}\x{2002}\x{2003}\x{2009}\x{202f}\x{
 
 @query(
     "title_key",
-    "SELECT id, title_norm AS title_key FROM event_contract",
+    "SELECT id, title_norm AS title_key FROM event_contract WHERE title IS NOT NULL AND title_norm IS NOT NULL",
 )
 def title_key(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "event_contract").select("id", text.title_key(F.col("title")).alias("title_key"))
+    """The key made anew from each title, where both the title and the stored key are there."""
+    rows = table(spark, d, "event_contract").where("title is not null and title_norm is not null")
+    return rows.select("id", text.title_key(F.col("title")).alias("title_key"))
 
 
 @query(
@@ -38,7 +40,7 @@ def major_kind(spark: SparkSession, d: str) -> DataFrame:
     "html_to_text",
     r"""
 SELECT id, array_to_string(list_filter([trim(regexp_replace(regexp_replace(regexp_replace(x, '[ \t]*\|[ \t]*(\|[ \t]*)+', ' | ', 'g'), '[ \t]{2,}', ' ', 'g'), '^[ |]+|[ |]+$', '', 'g'),
-   chr(32) || chr(9) || chr(160) || chr(8194) || chr(8195) || chr(8201) || chr(8239) || chr(12288)) FOR x IN string_split(s, chr(10))], x -> x <> ''), chr(10)) AS body
+   chr(32) || chr(9) || chr(160) || chr(8194) || chr(8195) || chr(8201) || chr(8239) || chr(12288)) FOR x IN string_split(s, chr(10))], lambda x: x <> ''), chr(10)) AS body
 FROM (SELECT id, item_name || ' | ' || coalesce(item_value, '') || ' | ' AS s FROM contract_item)
 """,
 )
@@ -171,12 +173,12 @@ def currency_code(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, arg_max(item_value, o) FILTER (WHERE contains(n, '이사회결의일') AND item_value IS NOT NULL) AS last_decided,
  arg_min(item_value, o) FILTER (WHERE contains(n, '이사회결의일') AND item_value IS NOT NULL) AS first_decided,
  arg_max(item_value, o) FILTER (WHERE contains(n, '사채의이율') AND contains(n, '표면이자율') AND item_value IS NOT NULL) AS coupon
-FROM (SELECT *, seq * 100000000 + id AS o, {SQ} AS n FROM major_item) GROUP BY doc_id
+FROM (SELECT *, seq::BIGINT * 100000000 + id AS o, {SQ} AS n FROM major_item) GROUP BY doc_id
 """,
 )
 def pick_items(spark: SparkSession, d: str) -> DataFrame:
     """First and last matching items of every decision in one grouped pass."""
-    rows = table(spark, d, "major_item").withColumn("o", F.col("seq") * F.lit(100000000) + F.col("id"))
+    rows = table(spark, d, "major_item").withColumn("o", F.col("seq").cast("long") * F.lit(100000000) + F.col("id"))
     there = F.col("item_value").isNotNull()
     return rows.groupBy("doc_id").agg(
         eav.last_value(eav.named("이사회결의일") & there, order="o").alias("last_decided"),
@@ -209,12 +211,12 @@ def pick_after(spark: SparkSession, d: str) -> DataFrame:
     "pick_priority",
     f"""
 SELECT doc_id, coalesce(min(CASE WHEN false THEN 0 END), arg_min(v, o) FILTER (WHERE contains(n, '이번보고서주식수') AND v IS NOT NULL), arg_min(v, o) FILTER (WHERE contains(n, '직전보고서주식수') AND v IS NOT NULL)) AS shares
-FROM (SELECT doc_id, seq * 100000000 + id AS o, {SQ} AS n, CASE WHEN regexp_matches(trim(replace(item_value, ',', '')), '^-?[0-9]+$') THEN try_cast(trim(replace(item_value, ',', '')) AS BIGINT) END AS v FROM holding_item) GROUP BY doc_id
+FROM (SELECT doc_id, seq::BIGINT * 100000000 + id AS o, {SQ} AS n, CASE WHEN regexp_matches(trim(replace(item_value, ',', '')), '^-?[0-9]+$') THEN try_cast(trim(replace(item_value, ',', '')) AS BIGINT) END AS v FROM holding_item) GROUP BY doc_id
 """,
 )
 def pick_priority(spark: SparkSession, d: str) -> DataFrame:
     """The first number under the first label that has one."""
-    rows = table(spark, d, "holding_item").withColumn("seq", F.col("seq") * F.lit(100000000) + F.col("id"))
+    rows = table(spark, d, "holding_item").withColumn("seq", F.col("seq").cast("long") * F.lit(100000000) + F.col("id"))
     return rows.groupBy("doc_id").agg(eav.priority_number(eav.named("이번보고서주식수"), eav.named("직전보고서주식수")).alias("shares"))
 
 

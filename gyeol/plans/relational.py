@@ -26,7 +26,7 @@ def filter_funnel(spark: SparkSession, d: str) -> DataFrame:
     return latest_copies(table(spark, d, "document").where(keep), ["doc_id"], ["loaded_at"]).select("doc_id", "rcept_dt")
 
 
-@query("project_casts", "SELECT id, coalesce(try_cast(replace(item_value, ',', '') AS BIGINT), 0) AS n, length(item_value) AS len, (seq <> 1)::INT AS later FROM major_item")
+@query("project_casts", r"SELECT id, coalesce(CASE WHEN regexp_matches(replace(item_value, ',', ''), '^\s*-?[0-9]+\s*$') THEN try_cast(replace(item_value, ',', '') AS BIGINT) END, 0) AS n, length(item_value) AS len, (seq <> 1)::INT AS later FROM major_item")
 def project_casts(spark: SparkSession, d: str) -> DataFrame:
     v = F.replace("item_value", F.lit(","))
     plain = F.when(v.rlike(r"^\s*-?[0-9]+\s*$"), v.try_cast("long"))
@@ -299,7 +299,7 @@ def all_checks(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "column_equals_item",
     """
-WITH i AS (SELECT doc_id, arg_max(item_value, seq * 100000000 + id) AS v FROM contract_item WHERE regexp_matches(item_name, '회사와의 관계$') AND item_value IS NOT NULL GROUP BY doc_id)
+WITH i AS (SELECT doc_id, arg_max(item_value, seq::BIGINT * 100000000 + id) AS v FROM contract_item WHERE regexp_matches(item_name, '회사와의 관계$') AND item_value IS NOT NULL GROUP BY doc_id)
 SELECT e.id, e.counterparty_rel IS NOT DISTINCT FROM i.v AS same FROM event_contract e JOIN i USING (doc_id)
 """,
 )
