@@ -11,7 +11,8 @@ and the middle dots of Korean text. What is kept: case, accents, the presence an
 and compatibility characters that look different (such as superscripts and circled digits).
 
 Cases: null stays null; '' stays ''; a string of invisible characters becomes ''. Repeated rows give
-repeated rows. Texts of any length are handled: the longest unit held at once is one text.
+repeated rows. Texts of any length are handled: the longest unit held at once is one text. An empty table gives an empty
+result. Other columns are kept whatever their names, but for names that start with ``__`` and the name of the result.
 """
 
 from __future__ import annotations
@@ -120,12 +121,21 @@ def _pairs() -> dict[str, str]:
     return {d: c for d, c in ((unicodedata.normalize("NFC", d[:-1]) + d[-1], c) for d, c in recompositions()) if len(d) == 2 and not S0 <= ord(c) < S0 + 11172}
 
 
+def _hangul(first: Column, second: Column) -> Column:
+    """The syllable that two characters make by the arithmetic of the Hangul block; null where they make none."""
+    a, b = F.ascii(first), F.ascii(second)
+    lv = a.between(L0, L0 + 18) & b.between(V0, V0 + 20)
+    lvt = a.between(S0, S0 + 11171) & ((a - S0) % 28 == 0) & b.between(T0 + 1, T0 + 27)
+    code = F.when(lv, S0 + ((a - L0) * 21 + (b - V0)) * 28).when(lvt, a + (b - T0))
+    return F.decode(F.unhex(F.hex(code)), "UTF-16BE")
+
+
 def _refold(marks: Column, pairs: Column) -> Column:
     """Compose one segment in the general case: (starter, marks still open, what is finished)."""
 
     def step(acc: Column, x: Column) -> Column:
         free = (acc["open"] == "") | ((acc["last"] < x["ccc"]) & (x["ccc"] > 0))
-        met = F.when(free & (acc["st"] != ""), F.element_at(pairs, F.concat(acc["st"], x["c"])))
+        met = F.when(free & (acc["st"] != ""), F.coalesce(F.try_element_at(pairs, F.concat(acc["st"], x["c"])), _hangul(acc["st"], x["c"])))
         return (
             F.when(met.isNotNull(), F.struct(acc["done"].alias("done"), met.alias("st"), acc["open"].alias("open"), acc["last"].alias("last")))
             .when(x["ccc"] == 0, F.struct(F.concat(acc["done"], acc["st"], acc["open"]).alias("done"), x["c"].alias("st"), F.lit("").alias("open"), F.lit(0).alias("last")))

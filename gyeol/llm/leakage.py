@@ -10,7 +10,7 @@ blanks, punctuation, case, width and composition don't matter. One pass over the
 shuffle. Test items larger than ``BLOCK_CHARS`` in sum are taken in blocks, each broadcast on its own.
 
 Cases: null ids and null or empty texts share nothing; items shorter than MIN_RUN can't leak; repeated
-rows give repeated hits; an empty set of items or documents gives an empty result.
+rows give repeated hits; an empty set of items or documents gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ first, and only the rows of the one bucket that the cut falls into are sorted. N
 
 Cases: documents without tokens, with a null id or of a source without a target aren't taken (sources are compared in
 lower case with blanks and hyphens as underscores); a source without tokens is left out and the other shares are
-kept in proportion; rows repeated with one id are rows of their own; no input, no mix.
+kept in proportion; rows repeated with one id are rows of their own; ties in rank go by id; other columns don't
+matter, and an n_tokens column of the input is replaced; no input, no mix.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text") -
     ship_package(spark)
     with open(path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, "n_tokens")]
 
     def run(batches):
         import pyarrow as pa
@@ -92,7 +93,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text") -
             n = pa.array([count(t) if t else 0 for t in batch.column(at).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in rest] + [n], names=[*rest, "n_tokens"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in rest)
     return docs.mapInArrow(run, f"{fields}, n_tokens long")
 
 

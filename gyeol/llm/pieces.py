@@ -15,7 +15,8 @@ the tail of the one before it, so that overlaps run across segments.
 
 Cases: null doc_id rows are ignored; a null section is a section of its own; a null seq counts as -1;
 null names and values are ''; of several copies of a (doc_id, seq) the latest loaded_at counts, then the largest
-id; a blank-free text is cut by characters; an empty table gives an empty result.
+id; of several paths of a document the greatest is carried, without one it is null; a blank-free text is
+cut by characters; other columns of the inputs, whatever their names, don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ def oversized_rows(rows: DataFrame, paths: DataFrame, limit: int, segment: int,
     """
     live = _live(rows)
     over = live.groupBy("doc_id", "sec").agg(F.sum("size").alias("section_size")).where(F.col("section_size") > limit)
-    over = over.join(paths, "doc_id", "left")
+    over = over.join(paths.groupBy("doc_id").agg(F.max("file_path").alias("file_path")), "doc_id", "left")
     salted = over.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     mine = live.withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(16)).cast("int")).join(salted, ["doc_id", "sec", "salt"]).drop("salt")
     mine = mine.withColumn("block", F.floor(F.col("seq") / BLOCK))
@@ -114,7 +115,7 @@ def oversized_rows(rows: DataFrame, paths: DataFrame, limit: int, segment: int,
 def split_sections(rows: DataFrame, paths: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, segment: int = SEGMENT) -> DataFrame:
     """Pieces of all oversized sections: doc_id, section, file_path, section_size, piece_no, n_pieces, from_char, to_char, text.
 
-    ``rows`` has doc_id, section, seq, item_name, item_value, loaded_at, id; ``paths`` one file_path a doc_id.
+    ``rows`` has doc_id, section, seq, item_name, item_value, loaded_at, id; ``paths`` has doc_id, file_path.
     Pieces cover [from_char, to_char) of the section; their text starts ``overlap`` characters earlier.
     """
     if not 0 <= overlap < limit or segment <= limit:

@@ -10,8 +10,8 @@ document has the subjects of its paragraphs. ``calibrate`` shows how both thresh
 Paragraphs end at blank lines. Label lines (cells divided by ``|``) aren't sentences. Characters are
 brought to one form first, case doesn't matter. Whole texts, one pass, no shuffle.
 
-Cases: null or empty texts and null ids have no subject; repeated rows give repeated results; an
-empty table gives an empty result.
+Cases: null or empty texts have no subject, rows with a null id are left out; repeated rows give repeated results;
+other columns don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ the same recency order. A group may hold a third of all rows, so ranking runs tw
 
 Cases: rows with a null in a group key belong to no group; a group without a row passing a
 criterion has null there; ties are broken by the id, rows repeated with one id count as one row each;
-an empty table gives an empty result.
+columns whose names start with ``__`` are reserved, other columns are carried along whatever they are called; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
