@@ -7,7 +7,8 @@ unique when another combination lies within ``gap`` of the best, and rejected wh
 its identities exceeds ``tol``. Row-local, JVM-side, no shuffle.
 
 Cases: identities with a null, zero or negative value are left out; without any identity the scale is
-null; ties go to the smaller combination and are flagged.
+null; ties go to the smaller combination and are flagged; repeated rows are solved alike; an empty table stays
+empty. Columns named like a result are replaced, and names that start with ``__`` are reserved.
 """
 
 from __future__ import annotations

@@ -17,6 +17,8 @@ OWN_ITEM = {
     "양수금액": r"양수금액",
     "계약금액": r"계약금액",
 }
+#: The columns of event_major that are read.
+MAJOR = ["id", "doc_id", "amount_krw", "amount_src", "currency", "amount_foreign", "use_total", "shares_common", "price_share"]
 _LEAD = r"^(?:[0-9]+(?:-[0-9]+)*[.)]|[-ㆍ·ᆞ•※]|\s)+"
 OVERSEAS = r"(?:해외발행|해외)\)?총액|해외발행\)총액"
 
@@ -47,7 +49,7 @@ def stated_in_items(items: DataFrame) -> DataFrame:
 
 def major_units(spark: SparkSession, d: str) -> DataFrame:
     """event_major with the scale of amount_krw, its basis, and ISO code and factor of amount_foreign."""
-    em = table(spark, d, "event_major")
+    em = table(spark, d, "event_major").select(*MAJOR)
     said = stated_in_items(table(spark, d, "major_item"))
     said = said.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("kind", "scale"))).alias("said"))
     em = em.join(said, "doc_id", "left")
