@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyeol.llm import canon, leakage, mixing, pieces, subjects, survivors
+from gyeol.llm import canon, leakage, mixing, oracle, pieces, subjects, survivors
 from gyeol.session import table
 
 
@@ -132,4 +132,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
