@@ -6,6 +6,8 @@ absence, words, an impossible day. Full-width forms and surrounding blanks don't
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,8 +27,9 @@ def read_number(c: Column) -> Column:
     t = _tight(c)
     plain = F.regexp_extract(t, rf"^(\d+){_UNIT}$", 1)
     shape = rf"^(?:(\d+)조)?(?:(\d+)억)?(?:(\d+)만)?(\d+)?{_UNIT}$"
-    part = lambda k: F.coalesce(F.regexp_extract(t, shape, k).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
-    total = part(1) * F.lit(10**12) + part(2) * F.lit(10**8) + part(3) * F.lit(10**4) + part(4)
+    # a missing part is 0; one that is too long for a number makes the whole unreadable
+    part = lambda k: F.concat(F.lit("0"), F.regexp_extract(t, shape, k)).try_cast("decimal(20,0)")
+    total = part(1) * F.lit(Decimal(10**12)) + part(2) * F.lit(Decimal(10**8)) + part(3) * F.lit(Decimal(10**4)) + part(4)
     return F.coalesce(plain.try_cast("long"), F.when(t.rlike(shape) & t.rlike(r"\d"), total.try_cast("long")))
 
 

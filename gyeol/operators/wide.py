@@ -5,7 +5,7 @@ hash-partitioned by entity, and combined through a balanced tree of full outer j
 ceil(log2 k) levels, and the first level needs no shuffle.
 
 Cases: a repeated (entity, seq) counts with its latest copy (then the largest uid); of several rows of one
-attribute the one with the highest seq that can be read as the type wins; rows with a null entity or
+attribute the one with the highest seq that can be read as the type wins, a null seq being lowest; rows with a null entity or
 attribute are ignored; an entity none of whose values can be read has no row; names of extra columns in
 the input don't matter. One entity may hold any share of the rows: copies are compared by (entity, seq),
 and values are reduced on the map side before they meet by entity.
@@ -57,7 +57,7 @@ def typed_cells(rows: DataFrame, fields: list[tuple[str, str, str]], keep: Colum
         F.when(F.col("field").isin([f for f in kinds if kinds[f] == k] or [""]), READERS[k](F.col("item_value"))).alias(k) for k in READERS
     ])
     typed = typed.where(F.coalesce(*[F.col(k).cast("string") for k in READERS]).isNotNull())
-    return typed.groupBy("doc_id", "field").agg(F.max_by(F.struct(*READERS), "seq").alias("v")).select("doc_id", "field", "v.*")
+    return typed.groupBy("doc_id", "field").agg(F.max_by(F.struct(*READERS), F.coalesce(F.col("seq").cast("long"), F.lit(-(2**63)))).alias("v")).select("doc_id", "field", "v.*")
 
 
 def balanced_outer_join(tables: list[DataFrame], key: str) -> DataFrame:

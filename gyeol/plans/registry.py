@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gyeol.plans import answers, base, lookups, relational, streams, units, wide  # noqa: F401  (registering)
+from gyeol.plans import answers, base, lookups, oracle_units, relational, streams, units, wide  # noqa: F401  (registering)
 from gyeol.plans.base import Query
 
 _OWN: dict[str, Query] = {
@@ -20,4 +20,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(base.ORACLES)
+    return base.ORACLES | {"p2_found": oracle_units.p2(), "p4_found": oracle_units.p4()}
