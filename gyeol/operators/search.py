@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gyeol.session import ship_package
+from gyeol.session import busy, cut_lineage, ship_package
 
+#: Query terms that are broadcast; more of them are joined by a shuffle.
+MAX_TERMS = 100_000
 #: Query vectors in one broadcast block.
 BLOCK = 4096
 
@@ -20,13 +22,15 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     """(query_id, doc_id, score) of all documents that share a term; docs: doc_id, text; queries: query_id, text.
 
     Only terms of the queries leave the scan: their occurrences are counted in the text's row, so the shuffle
-    holds (term, document, count) of matching terms. The query terms are joined without a hint.
+    holds (term, document, count) of matching terms. Query terms are broadcast while there are at most MAX_TERMS.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     wanted = q.select("term").distinct()
-    sized = docs.where("text is not null").select("doc_id", tokens(F.col("text")).alias("ts")).withColumn("len", F.size("ts"))
+    if wanted.count() <= MAX_TERMS:
+        wanted = F.broadcast(wanted)
+    sized = busy(docs.where("text is not null").select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("ts")).withColumn("len", F.size("ts"))
     stats = sized.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    tf = sized.select("doc_id", "len", F.explode("ts").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
+    tf = cut_lineage(sized.select("doc_id", "len", F.explode("ts").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf")))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(stats)).select("term", F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")  # stats is one row
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))

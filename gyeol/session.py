@@ -44,6 +44,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition by ``cols`` into the session's number of shuffle partitions.
+
+    For stages whose work is far larger than their input (explosions, Python): left to itself, adaptive execution would
+    merge partitions by the size of the input.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
+def busy(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores; a large scan, which has more, isn't touched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 _shipped: set[str] = set()
 
 
