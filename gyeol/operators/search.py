@@ -30,7 +30,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
         wanted = F.broadcast(wanted)
     sized = busy(docs.where("text is not null").select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("ts")).withColumn("len", F.size("ts"))
     stats = sized.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    tf = cut_lineage(sized.select("doc_id", "len", F.explode("ts").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf")))
+    # the outer form keeps the optimizer from tokenising in the scan's filter as well
+    terms = sized.select("doc_id", "len", F.explode_outer("ts").alias("term"))
+    tf = cut_lineage(terms.join(wanted, "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf")))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(stats)).select("term", F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")  # stats is one row
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
