@@ -23,7 +23,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gyeol.session import cut_lineage
+from gyeol.session import cut_lineage, spread
 
 #: Letters of other scripts drawn like Latin letters.
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj", strict=True))
@@ -167,8 +167,9 @@ def canonical_forms(strings: DataFrame, col: str) -> DataFrame:
     spark = strings.sparkSession
     rules, comps = _rule_tables(spark)
     raw = strings.select(F.col(col).alias("raw")).where(F.col("raw").isNotNull() & ~F.col("raw").rlike(STABLE)).distinct()
-    keyed = raw.withColumn("sid", F.md5("raw")).repartition("sid")
-    chars = keyed.select("sid", F.posexplode(F.split("raw", "")).alias("pos", "ch"))
+    keyed = spread(raw.withColumn("sid", F.md5("raw")), "sid")
+    # the outer form keeps the optimizer from splitting in the scan's filter as well; unstable strings are never empty
+    chars = keyed.select("sid", F.posexplode_outer(F.split("raw", "")).alias("pos", "ch"))
     own = F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("ccc"), F.lit(True).alias("brk")))
     cells = (
         chars.join(F.broadcast(rules), "ch", "left")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gyeol.llm import canon
-from gyeol.session import ship_package
+from gyeol.session import busy, ship_package
 
 MIN_RUN = 50
 WIDTH, STRIDE = 25, 26
@@ -125,7 +125,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types, strict=True)], names=["doc_id", "item_id", "run", "from_char", "to_char"])
 
-        part = source.mapInArrow(scan, HITS)
+        part = busy(source).mapInArrow(scan, HITS)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], HITS)
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gyeol.session import cut_lineage, ship_package
+from gyeol.session import busy, cut_lineage, ship_package
 
 BUCKETS = 4096
 #: Bound of the target table, a configuration that is read to the driver.
@@ -94,7 +94,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text") -
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in rest] + [n], names=[*rest, "n_tokens"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in rest)
-    return docs.mapInArrow(run, f"{fields}, n_tokens long")
+    return busy(docs).mapInArrow(run, f"{fields}, n_tokens long")
 
 
 def _solve(classes: list[tuple[float, int]], target: float, cap: int) -> float:

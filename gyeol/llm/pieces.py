@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gyeol.session import cut_lineage, ship_package
+from gyeol.session import cut_lineage, ship_package, spread
 
 LIMIT, OVERLAP = 6000, 300
 BLOCK = 512
@@ -126,7 +126,7 @@ def split_sections(rows: DataFrame, paths: DataFrame, limit: int = LIMIT, overla
     full = rows.where("doc_id is not null").select("doc_id", F.coalesce(F.col("seq").cast("long"), F.lit(-1)).alias("seq"), "id", name.alias("name"), value.alias("value"))
     joined = marks.join(full, (marks["doc_id"] == full["doc_id"]) & (marks["seq"] == full["seq"]) & marks["id"].eqNullSafe(full["id"])).select(
         marks["doc_id"], "sec", "segment", marks["seq"], "own", "start", "file_path", "section_size", "name", "value")
-    ordered = joined.repartition("doc_id", "sec", "segment").sortWithinPartitions("doc_id", "sec", "segment", "start", "own")
+    ordered = spread(joined, "doc_id", "sec", "segment").sortWithinPartitions("doc_id", "sec", "segment", "start", "own")
     cap = limit - overlap
 
     def run(batches: Iterator) -> Iterator:

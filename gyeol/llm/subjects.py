@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gyeol.llm import canon
 from gyeol.llm.subject_terms import SUBJECT_TERMS
-from gyeol.session import ship_package
+from gyeol.session import busy, ship_package
 
 SENTENCES = 3
 SENTENCE_SCORE = 0.5
@@ -122,7 +122,7 @@ def assign_subjects(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 [batch.column(0), pa.array(found, pa.list_(pa.string())), pa.array([len(t or "") for t in texts], pa.int64())], names=["doc_id", "subjects", "n_chars"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    return source.mapInArrow(run, "doc_id long, subjects array<string>, n_chars long")
+    return busy(source).mapInArrow(run, "doc_id long, subjects array<string>, n_chars long")
 
 
 def calibrate(docs: DataFrame, labels: DataFrame, sentences: tuple[int, ...] = (1, 2, 3, 4), none: str = "none") -> DataFrame:
