@@ -191,6 +191,23 @@ def question_slots(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_item").select("item_id", pick(r"(\d{4})년").alias("year"), pick(r"(\d{1,2})월").alias("month"), F.size(F.regexp_extract_all(t, F.lit(r"\d[\d,]*백만원"), F.lit(0))).cast("long").alias("amounts"), intent.alias("intent"))
 
 
+@query(
+    "input_guard",
+    r"""
+SELECT item_id, CASE WHEN regexp_matches(text, '지시를? 무시|ignore (all|previous)') THEN 'instruction' WHEN regexp_matches(text, '시스템 프롬프트|system prompt') THEN 'prompt'
+ WHEN regexp_matches(text, '매수|매도|추천|투자 의견') THEN 'advice' WHEN regexp_matches(text, '공시|보고서|계약|지분|예산|정정|memo|filer|annex') THEN 'filing' ELSE 'other' END AS kind FROM eval_item
+""",
+)
+def input_guard(spark: SparkSession, d: str) -> DataFrame:
+    """What a question is before anything is looked up: an attack, advice asked for, about filings, or other."""
+    t = F.col("text")
+    kind = (
+        F.when(t.rlike("지시를? 무시|ignore (all|previous)"), "instruction").when(t.rlike("시스템 프롬프트|system prompt"), "prompt").when(t.rlike("매수|매도|추천|투자 의견"), "advice")
+        .when(t.rlike("공시|보고서|계약|지분|예산|정정|memo|filer|annex"), "filing").otherwise("other")
+    )
+    return table(spark, d, "eval_item").select("item_id", kind.alias("kind"))
+
+
 @query("label_dictionary")
 def label_dictionary(spark: SparkSession, d: str) -> DataFrame:
     """Spellings of each attribute with their frequency, those seen at least five times."""
