@@ -54,7 +54,10 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def busy(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many partitions as there are cores; a large scan, which has more, isn't touched."""
+    """A scan in at least as many partitions as there are cores. A large scan, which has more, isn't touched, nor is a plan
+    with a shuffle in it, whose partitions could only be counted by running it."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
