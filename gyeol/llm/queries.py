@@ -114,9 +114,10 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    open_docs = docs.join(table(spark, d, "subject_label").select("doc_id"), "doc_id", "left_anti")
-    return subjects.assign_subjects(open_docs).select("doc_id", F.explode("subjects").alias("subject")).distinct()
+    per = subjects.assign_subjects(table(spark, d, "documents").select("doc_id", "text"))
+    found = per.select("doc_id", F.explode("subjects").alias("subject")).distinct()
+    # labelled documents are taken out of the narrow result, so that no text is shuffled
+    return found.join(table(spark, d, "subject_label").select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 def p8_composition(spark: SparkSession, d: str) -> DataFrame:
