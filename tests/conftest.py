@@ -12,6 +12,8 @@ def spark():
 
     s = local_session(4, "tests")
     s.conf.set("spark.sql.shuffle.partitions", "4")
+    # compiling the code of a stage takes longer here than running it on a few rows
+    s.conf.set("spark.sql.codegen.wholeStage", "false")
     s.sparkContext.setLogLevel("ERROR")
     return s
 
