@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gyeol.functions import dates, numbers, text
+from gyeol.functions import dates, numbers, text, units
 from gyeol.operators import eav, facts, grids
 from gyeol.plans.base import query
 from gyeol.session import table
@@ -62,10 +62,9 @@ FROM (SELECT id, item_value, trim(replace(item_value, ',', '')) AS t, trim(repla
 """,
 )
 def amount_parse(spark: SparkSession, d: str) -> DataFrame:
-    """The three number readers and the value test, on all values in plain characters."""
-    v = F.col("item_value")
-    rows = table(spark, d, "major_item").where(v.rlike("^[ -~가-힣–—]*$"))
-    return rows.select("id", numbers.to_int(v).alias("whole"), numbers.to_float(v).alias("real_value"), numbers.to_num(v).alias("num"), numbers.value_like(v).alias("value_like"))
+    """The three number readers and the value test on every item, full-width characters read as plain ones."""
+    v = units.half_width(F.col("item_value"))
+    return table(spark, d, "major_item").select("id", numbers.to_int(v).alias("whole"), numbers.to_float(v).alias("real_value"), numbers.to_num(v).alias("num"), numbers.value_like(v).alias("value_like"))
 
 
 def _ymd_sql(pat: str, extra: str = "") -> str:
@@ -85,10 +84,9 @@ FROM contract_item WHERE regexp_matches(item_value, '^[ -~가-힣–—]*$')
 """,
 )
 def date_parse(spark: SparkSession, d: str) -> DataFrame:
-    """The three date readers side by side."""
-    v = F.col("item_value")
-    rows = table(spark, d, "contract_item").where(v.rlike("^[ -~가-힣–—]*$"))
-    return rows.select("id", dates.loose_date(v).alias("loose"), dates.strict_date(v).alias("strict"), dates.pointer_date(v).alias("pointer"))
+    """The three date readers side by side on every item, full-width characters read as plain ones."""
+    v = units.half_width(F.col("item_value"))
+    return table(spark, d, "contract_item").select("id", dates.loose_date(v).alias("loose"), dates.strict_date(v).alias("strict"), dates.pointer_date(v).alias("pointer"))
 
 
 @query(
