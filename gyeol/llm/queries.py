@@ -63,14 +63,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
-    """One record for every contract: each field's newest usable value."""
+    """One record for every contract, with every column of event_contract: each field's newest usable value.
+
+    A row with a null in its key is a record of its own. Ratios of rows whose ratio matches come before others.
+    """
     ec = _contract_versions(spark, d)
     order = F.struct(F.coalesce("rcept_dt", F.lit("")), F.coalesce("is_correction", F.lit(-1)), F.coalesce("loaded_at", F.lit("0001-01-01").cast("timestamp_ntz")), "id")
     trusted = F.col("ratio_match").isNull() | (F.col("ratio_match") != 0)
-    special = {"id": F.lit(True), "amount_krw": (F.col("amount_krw") > 0) & trusted, "ratio_stated": trusted & F.col("ratio_stated").isNotNull(), "end_date": survivors.real_day("end_date") & (F.col("start_date").isNull() | (F.col("end_date") >= F.col("start_date"))), "start_date": survivors.real_day("start_date"), "signed_at": survivors.real_day("signed_at")}
-    plain = ["form", "disclosure_type", "title", "category", "counterparty", "counterparty_rel", "region", "base_amount", "base_kind", "purpose", "terminate_reason", "is_large_corp"]
+    paid = trusted & (F.col("amount_krw").isNull() | (F.col("amount_krw") > 0))
+    special = {"id": F.lit(True), "amount_krw": (F.col("amount_krw") > 0) & trusted, "amount_fixed": paid & (F.col("amount_fixed") > 0), "amount_cond": paid & (F.col("amount_cond") >= 0), "ratio_stated": trusted & F.col("ratio_stated").isNotNull()}
+    special |= {"end_date": survivors.real_day("end_date") & (F.col("start_date").isNull() | (F.col("end_date") >= F.col("start_date"))), "start_date": survivors.real_day("start_date"), "signed_at": survivors.real_day("signed_at"), "hold_until": survivors.real_day("hold_until")}
+    plain = [c for c in ec.columns if c not in special and c not in CONTRACT_KEYS and c != "rcept_dt"]
     fields = special | {c: F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != "") & (F.col(c).cast("string") != "-") for c in plain}
-    return survivors.best_values(ec, CONTRACT_KEYS, order, fields)
+    return survivors.best_values(ec, CONTRACT_KEYS, order, fields, uid="id", prefer={"ratio_calc": trusted, "ratio_match": trusted})
 
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:

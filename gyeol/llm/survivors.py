@@ -58,11 +58,15 @@ def ranked_survivors(df: DataFrame, keys: list[str], order: list[Column], criter
     return top.groupBy(*keys).agg(F.max("__n").cast("long").alias("group_rows"), *aggs)
 
 
-def best_values(df: DataFrame, keys: list[str], order: Column, fields: dict[str, Column]) -> DataFrame:
+def best_values(df: DataFrame, keys: list[str], order: Column, fields: dict[str, Column], uid: str | None = None, prefer: dict[str, Column] | None = None) -> DataFrame:
     """The built record: for each field its value in the newest row where ``fields[name]`` holds.
 
-    One hash aggregation with map-side combine; ``order`` is one comparable struct, greatest is best.
+    One hash aggregation with map-side combine; ``order`` is one comparable struct, greatest is best. Among the rows of a field those
+    where ``prefer[name]`` holds come first. With ``uid`` a row with a null in a key is a record of its own, without it is left out.
     """
-    aggs = [F.max_by(F.col(n), F.when(F.coalesce(cond, F.lit(False)), order)).alias(n) for n, cond in fields.items()]
-    rows = df.where(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
-    return rows.groupBy(*keys).agg(F.count("*").alias("group_rows"), *aggs)
+    first = {n: F.coalesce(cond, F.lit(False)) for n, cond in (prefer or {}).items()}
+    rank = lambda n: F.struct(first[n], order) if n in first else order
+    aggs = [F.max_by(F.col(n), F.when(F.coalesce(cond, F.lit(False)), rank(n))).alias(n) for n, cond in fields.items()]
+    whole = F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    rows = df.where(whole) if uid is None else df.withColumn("__own", F.when(~whole, F.col(uid)))
+    return rows.groupBy(*keys, *([] if uid is None else ["__own"])).agg(F.count("*").alias("group_rows"), *aggs).drop("__own")
