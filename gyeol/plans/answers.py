@@ -243,16 +243,21 @@ def facts_contract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relation_documents(spark: SparkSession, d: str) -> DataFrame:
-    """documents in the shape that relations are built from: a correction says so in its text."""
-    docs = table(spark, d, "documents")
-    return docs.select(
-        F.col("doc_id").cast("string").alias("doc_id"), "corp_code", F.lit("filing").alias("doc_group"), F.col("report_nm").alias("doc_subtype"), F.lit(None).cast("string").alias("major_kind"), "rcept_dt",
-        F.coalesce(F.col("text").contains("정정신고(보고)"), F.lit(False)).cast("int").alias("is_correction"), "text")
+    """documents in the shape that relations are built from: a correction says so in its text, the rest is in the report's name.
+
+    Without a name, a correction has that of the filing which it says it corrects, another filing that of its first line.
+    """
+    docs = table(spark, d, "documents").withColumn("text", relation.one_form(F.col("text")))
+    said = [F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in (r"(?U)정정(?:관련|대상)\s*공시서류\s*[:|]?\s*([^\n|]{2,40}?)\s*(?:\n|\||2\.|$)", r"(?U)^\s*([가-힣][^\n|]{1,39}?) - ")]
+    docs = docs.withColumn("is_correction", F.coalesce(F.col("text").contains(relation.CORRECTION_MARK), F.lit(False)).cast("int"))
+    docs = docs.withColumn("name", F.coalesce(F.nullif(F.trim("report_nm"), F.lit("")), F.when(F.col("is_correction") == 1, said[0]), said[1]))
+    group, subtype, kind = relation.filing_kind(F.col("name"))
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "corp_code", group.alias("doc_group"), subtype.alias("doc_subtype"), kind.alias("major_kind"), "rcept_dt", "is_correction", "text")
 
 
 @query("document_relations")
 def document_relations(spark: SparkSession, d: str) -> DataFrame:
-    """Edges from all corrections among documents to their originals, with the reason where there is none."""
+    """Edges from all corrections and terminations among documents to their originals, with the reason where there is none."""
     return relation.document_relations(relation_documents(spark, d))
 
 

@@ -95,3 +95,35 @@ def test_parsers(spark):
     r = spark.range(1).select(d.alias("d"), h.alias("h"), relation.corrected_fields(F.lit("4. 정정사항\n5. 계약기간 | x\n1. 제목")).alias("c")).first()
     assert (r.d, r.h) == ("20250828", "제51기 사업보고서")
     assert set(r.c) == {"시작일", "종료일"}
+
+
+def relate(spark, folder, docs):
+    """Edges of the registered query over a documents table of (doc_id, corp_code, report_nm, rcept_dt, text)."""
+    from gyeol.plans import registry
+
+    spark.createDataFrame(docs, "doc_id long, corp_code string, report_nm string, rcept_dt string, text string").write.parquet(f"{folder}/documents.parquet")
+    return {(r.rel_type, r.from_doc_id): (r.to_doc_id, r.unresolved_reason, r.target_date) for r in registry.queries()["document_relations"](spark, str(folder)).collect()}
+
+
+def test_query_reaches_terminations_and_kinds(spark, tmp_path):
+    docs = [
+        (1, "c", "단일판매ㆍ공급계약체결", "20240101", body("X", "2023-12-30")),
+        (2, "c", "신규시설투자등", "20240101", "본문"),
+        (3, "c", "[기재정정]단일판매ㆍ공급계약체결(자율공시)", "20240301", pointer("20240101", body("X", "2023-12-30"))),
+        (4, "c", "단일판매·공급계약해지", "20240601", "※ 관련공시 | 2024-03-01 단일판매ㆍ공급계약체결"),
+        (5, "c", "주요사항보고서(유상증자결정)", "20240201", "본문"), (6, "c", "주요사항보고서(자기주식처분결정)", "20240201", "본문"),
+        (7, "c", "[기재정정]주요사항보고서(유상증자결정)", "20240401", "정정신고(보고)\n1. 정정관련 공시서류 : 주요사항보고서\n2. 정정관련 공시서류제출일 : 2024-02-01"),
+        (8, "c", None, "20240401", "정정신고(보고)\n1. 정정관련 공시서류 : 신규시설투자등\n2. 정정관련 공시서류제출일 : 2024-01-01"),
+    ]
+    got = relate(spark, tmp_path, docs)
+    assert {k: v[0] for k, v in got.items()} == {("correction", "3"): "1", ("termination", "4"): "1", ("correction", "7"): "5", ("correction", "8"): "2"}
+
+
+def test_query_reads_texts_in_other_character_forms(spark, tmp_path):
+    import unicodedata
+
+    wide = str.maketrans({c: chr(ord(c) + 0xFEE0) for c in "0123456789()-:"})
+    text = pointer("20240101", body("X", "2023-12-30"))
+    docs = [(1, "c", "단일판매ㆍ공급계약체결", "20240101", body("X", "2023-12-30"))]
+    docs += [(k, "c", "단일판매ㆍ공급계약체결", f"2024020{k}", t) for k, t in ((2, unicodedata.normalize("NFD", text)), (3, text.translate(wide)), (4, text.replace("신고", "신\u200b고").replace(" ", "\u2009")))]
+    assert relate(spark, tmp_path, docs) == {("correction", str(k)): ("1", None, "20240101") for k in (2, 3, 4)}
