@@ -286,6 +286,6 @@ SELECT a.doc_id AS a_id, b.doc_id AS b_id, count(*) AS shared FROM (SELECT doc_i
 def number_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """Filings of one company that share big numbers; the number is part of the join key."""
     docs = table(spark, d, "documents").where("text is not null and corp_code is not null")
-    n = docs.select("doc_id", "corp_code", F.explode(relation.big_numbers(F.substring("text", 1, relation.NUMBERS_HEAD))).alias("x"))
+    n = docs.select("doc_id", "corp_code", F.explode(relation.big_numbers(F.col("text"))).alias("x"))
     a, b = n.withColumnRenamed("doc_id", "a_id"), n.withColumnRenamed("doc_id", "b_id")
     return a.join(b, ["corp_code", "x"]).where("a_id < b_id").groupBy("a_id", "b_id").agg(F.count("*").alias("shared"))

@@ -127,3 +127,16 @@ def test_query_reads_texts_in_other_character_forms(spark, tmp_path):
     docs = [(1, "c", "단일판매ㆍ공급계약체결", "20240101", body("X", "2023-12-30"))]
     docs += [(k, "c", "단일판매ㆍ공급계약체결", f"2024020{k}", t) for k, t in ((2, unicodedata.normalize("NFD", text)), (3, text.translate(wide)), (4, text.replace("신고", "신\u200b고").replace(" ", "\u2009")))]
     assert relate(spark, tmp_path, docs) == {("correction", str(k)): ("1", None, "20240101") for k in (2, 3, 4)}
+
+
+def test_whole_texts_are_read(spark, tmp_path):
+    from gyeol.plans import registry
+
+    far = "가나다 라마바 " * 20_000
+    docs = [(1, "c", "단일판매ㆍ공급계약체결", "20240101", "본문" + far + "금액 1,234,567,890"), (2, "c", "단일판매ㆍ공급계약체결", "20240201", far + "\n" + pointer("20240101") + "\n금액 1,234,567,890")]
+    assert relate(spark, tmp_path, docs) == {("correction", "2"): ("1", None, "20240101")}
+    run = lambda name: sorted(tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect())
+    assert run("correction_targets") == [(1, None), (2, "20240101")]
+    assert run("number_fingerprint") == [(1, 2, 1)]
+    got = spark.createDataFrame([(far + "계약(수주)일자 | 2020-11-19",)], "t string").select(relation.contract_date(F.col("t"))).first()[0]
+    assert got == "20201119"
