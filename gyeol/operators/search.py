@@ -102,3 +102,37 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "
         part = search(block) if block else rows.limit(0).select(F.lit(0).cast("long").alias("query_id"), F.col("id").alias("doc_id"), F.lit(0.0).alias("score"))
         out = part if out is None else out.unionByName(part)
     return top_k(out, k, digits)
+
+
+def similar_pairs(names: DataFrame, others: DataFrame, limit: int) -> DataFrame:
+    """(name, other, dist) of all pairs of a ``name`` and an ``other`` at most ``limit`` edits apart; both inputs are taken distinct.
+
+    Lossless: cut into limit + 1 segments, the shorter text of a pair has one that the longer holds unchanged, moved by at most
+    ``limit``. Segments are the join key; texts too short for segments meet by length alone.
+    """
+    parts = limit + 1
+    base = lambda n: (n / parts).cast("int")
+    # the last n % parts segments are one longer
+    start = lambda n, i: i * base(n) + F.greatest(F.lit(0), i - (parts - n % parts))
+    width = lambda n, i: base(n) + (i >= parts - n % parts).cast("int")
+    key = lambda n, i, s: F.struct(n.alias("n"), i.alias("i"), s.alias("s"))
+    every = F.sequence(F.lit(0), F.lit(limit))
+
+    def pieces(t: Column) -> Column:
+        n = F.length(t)
+        cut = F.transform(every, lambda i: key(n, i, F.substring(t, start(n, i) + 1, width(n, i))))
+        return F.when(n < parts, F.array(key(n, F.lit(-1), F.lit("")))).otherwise(cut)
+
+    def probes(t: Column) -> Column:
+        m = F.length(t)
+        at = lambda n, i, by: key(n, i, F.substring(t, start(n, i) + by + 1, width(n, i)))
+        inside = lambda n, i: F.filter(F.sequence(F.lit(-limit), F.lit(limit)), lambda by: (start(n, i) + by >= 0) & (start(n, i) + by + width(n, i) <= m))
+        of = lambda n: F.when(n < parts, F.array(key(n, F.lit(-1), F.lit("")))).otherwise(F.flatten(F.transform(every, lambda i: F.transform(inside(n, i), lambda by: at(n, i, by)))))
+        return F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(F.lit(0), m - limit), m), of)))
+
+    name, other = F.col("name"), F.col("other")
+    a, b = names.where("name is not null").select("name").distinct(), others.where("other is not null").select("other").distinct()
+    short_a = a.select("name", F.explode(pieces(name)).alias("key")).join(b.select("other", F.explode(probes(other)).alias("key")), "key")
+    short_b = b.select("other", F.explode(pieces(other)).alias("key")).join(a.select("name", F.explode(probes(name)).alias("key")), "key")
+    met = short_a.where(F.length("name") <= F.length("other")).select("name", "other").unionByName(short_b.where(F.length("other") < F.length("name")).select("name", "other"))
+    return met.distinct().withColumn("dist", F.levenshtein("name", "other")).where(F.col("dist") <= limit)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gyeol.operators import facts, relation, search
@@ -29,12 +29,27 @@ def entity_lookup(spark: SparkSession, d: str) -> DataFrame:
     return every.groupBy("name", "corp_code").agg(F.min("how").alias("how"))
 
 
+#: Edits up to which two names count as similar.
+NAME_EDITS = 4
+
+
 @query("similar_names")
 def similar_names(spark: SparkSession, d: str) -> DataFrame:
-    """Company names close in spelling that share their first characters."""
-    n = table(spark, d, "company").where("corp_name is not null").select(F.col("corp_name").alias("name"), F.substring("corp_name", 1, 4).alias("k")).distinct()
-    o = n.withColumnRenamed("name", "other")
-    return n.join(o, "k").where("name < other").withColumn("dist", F.levenshtein("name", "other")).where("dist <= 4").select("name", "other", F.col("dist").cast("long").alias("dist"))
+    """All pairs of company names close in spelling."""
+    n = table(spark, d, "company").select(F.col("corp_name").alias("name"))
+    return search.similar_pairs(n, n.withColumnRenamed("name", "other"), NAME_EDITS).where("name < other").select("name", "other", F.col("dist").cast("long").alias("dist"))
+
+
+@query("entity_candidates")
+def entity_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """For each filer name that entity_lookup leaves open, the companies with a name close in spelling, nearest first."""
+    names = table(spark, d, "document").where("flr_nm is not null").select(F.col("flr_nm").alias("name")).distinct()
+    names = names.join(entity_lookup(spark, d).select("name").distinct(), "name", "left_anti")
+    co = table(spark, d, "company")
+    spelled = co.select("corp_code", F.col("corp_name").alias("other")).unionByName(co.select("corp_code", F.col("listed_name").alias("other"))).where("other is not null")
+    near = search.similar_pairs(names, spelled, NAME_EDITS).join(spelled.distinct(), "other")
+    best = near.groupBy("name", "corp_code").agg(F.min(F.struct("dist", "other")).alias("x")).select("name", "corp_code", "x.other", F.col("x.dist").cast("long").alias("dist"))
+    return best.withColumn("rank", F.rank().over(Window.partitionBy("name").orderBy("dist")).cast("long"))
 
 
 @query(

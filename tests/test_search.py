@@ -45,3 +45,38 @@ def test_fusion(spark):
     b = spark.createDataFrame([("q", 2, 1)], "query_id string, doc_id long, rank int")
     got = {r.doc_id: r.score for r in search.fuse_ranks([a, b]).collect()}
     assert math.isclose(got[2], 1 / 61 + 1 / 62) and math.isclose(got[1], 1 / 61)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_similar_pairs_against_all_pairs(spark):
+    import random
+
+    from gyeol.operators import search
+
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("가나다라ab") for _ in range(rnd.choice([0, 1, 2, 3, 4, 5, 6, 7, 9, 11, 14])))
+    a, b = {word() for _ in range(90)}, {word() for _ in range(90)}
+    b |= {x[1:] + "다" for x in a} | {x[:2] + "zz" + x[2:] for x in a}
+    left, right = spark.createDataFrame([(x,) for x in [*a, None]], "name string"), spark.createDataFrame([(x,) for x in [*b, None]], "other string")
+    for limit in (1, 4):
+        got = sorted(tuple(r) for r in search.similar_pairs(left, right, limit).collect())
+        assert got == sorted((x, y, edits(x, y)) for x in a for y in b if edits(x, y) <= limit)
+
+
+def test_names_that_differ_at_the_start_are_found(spark, tmp_path):
+    from gyeol.plans import registry
+
+    spark.createDataFrame([("1", "가람건설", "가람", "건설"), ("2", "아람건설", None, "건설"), ("3", "대한전력반도체", None, None)], "corp_code string, corp_name string, listed_name string, sector string").write.parquet(f"{tmp_path}/company.parquet")
+    spark.createDataFrame([("나람건설",), ("가람건설",), ("대한전력반도채홀",), ("전혀 다른 이름의 보고자",), (None,)], "flr_nm string").write.parquet(f"{tmp_path}/document.parquet")
+    q = registry.queries()
+    assert [tuple(r) for r in q["similar_names"](spark, str(tmp_path)).collect()] == [("가람건설", "아람건설", 1)]
+    got = {(r.name, r.corp_code): (r.dist, r["rank"]) for r in q["entity_candidates"](spark, str(tmp_path)).collect()}
+    assert got == {("나람건설", "1"): (1, 1), ("나람건설", "2"): (1, 1), ("대한전력반도채홀", "3"): (2, 1)}
