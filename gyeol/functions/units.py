@@ -12,7 +12,7 @@ SCALES = {
     "mn": 1e6, "bn": 1e9, "tn": 1e12, "k": 1e3, "m": 1e6,
 }
 #: Scales that a won amount is tried in when nothing states one.
-WON_SCALES = [1.0, 1e3, 1e6, 1e8, 1e9, 1e12]
+WON_SCALES = sorted({1.0, *SCALES.values()})
 #: Names and signs of currencies, lower case and without blanks.
 CURRENCIES = {
     "USD": ["usd", "us$", "$", "미국달러", "미국달러화", "미달러", "미달러화", "미화", "달러", "달러화", "u.s.dollar", "u.s.dollars", "usdollar", "dollar"],

@@ -62,3 +62,13 @@ def test_found_is_whole(spark, tiny):
     found = units.p2_found(spark, tiny)
     assert found.where("field = 'market_cap'").count() == table(spark, tiny, "company").where("market_cap is not null").count()
     assert found.where("unit_value is null").count() == 0
+
+
+def test_every_won_scale_is_solved(spark):
+    """An unstated amount in any unit that the readers know is found by its identity, and by one only."""
+    from gyeol.functions.units import SCALES as STATED
+    from gyeol.functions.units import WON_SCALES
+
+    factors = sorted({1.0, *STATED.values()})
+    rows = [(2.5e12 / f, 2.5e12 * 1.02, None, None) for f in factors]
+    assert solve(spark, rows, {"a": WON_SCALES}, [{"a": 1, "b": -1}]) == [(f, True, 1) for f in factors]
