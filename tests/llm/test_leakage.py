@@ -66,3 +66,25 @@ def test_any_offset(seed, run_length, before):
     found = leakage.shared_runs(text, items, leakage.index_items(items))
     want = any(letters[k : k + leakage.MIN_RUN] in text for k in range(len(letters) - leakage.MIN_RUN + 1))
     assert bool(found) == want
+
+
+def test_positions_reproduce_the_letters_of_any_text(spark):
+    import random
+    import unicodedata
+
+    rnd = random.Random(5)
+    bits = ["e\u200b\u0301", "ᄀ\u200bᅡ\u200bᆨ", "가\u200dᆨ", "か\u3099", "ｶﾞ", "क\u093c", "a\u20d7", "e\u0323\u0302", "\u0301", "x", "가", "·", " ", "Σ", "Ａ", "\ufeff", "é", "é".replace("é", unicodedata.normalize("NFD", "é")), "ϒ\u0301"]
+    for _ in range(3000):
+        t = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 9)))
+        placed, starts, ends = leakage.lettered_positions(t)
+        assert placed.replace("ς", "σ") == leakage.letters(t).replace("ς", "σ"), ascii(t)
+        assert len(starts) == len(ends) == len(placed)
+
+
+def test_one_leaked_passage_leaves_the_rest(spark):
+    secret = "".join(chr(0xAC00 + 37 * k) for k in range(60))
+    for mark in ("e\u200b\u0301", "ᄀ\u200bᅡ", "か\u3099"):
+        docs = spark.createDataFrame([(1, f"before {mark} {secret}. after")], "doc_id long, text string")
+        hits = leakage.leaks(docs, spark.createDataFrame([(7, secret)], "item_id long, text string"))
+        got = leakage.remove_spans(docs, hits).first()
+        assert (got.text, got.removed_chars) == (f"before {mark} . after", 60), ascii(mark)
