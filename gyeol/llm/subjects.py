@@ -5,7 +5,8 @@ a term inside a longer matched term doesn't count. A term weighs its rarity: 1 o
 that list it. A sentence scores, for each subject, the sum of its terms' weights divided by its length where it
 is longer than ``LONG`` characters, and is about the subject when that reaches ``SENTENCE_SCORE``. A paragraph is about
 every subject of at least ``SENTENCES`` of its sentences, so that one stray sentence doesn't count, and a
-document has the subjects of its paragraphs. ``calibrate`` shows how both thresholds are chosen from labelled documents.
+document has the subjects of its paragraphs. No term is listed twice so far, so all weights are 1. ``calibrate`` shows how
+``SENTENCES`` is chosen from labelled documents; ``SENTENCE_SCORE`` is fixed.
 
 Paragraphs end at blank lines. Label lines (cells divided by ``|``) aren't sentences. Characters are
 brought to one form first, case doesn't matter. Whole texts, one pass, no shuffle.
