@@ -1,7 +1,7 @@
 """Visually identical text in different characters: one consistent form for all text.
 
-Method: each distinct string that may change is exploded to positioned code points; a broadcast
-join maps every code point to its decomposition, with look-alike letters, blanks, middle dots and
+Method: each distinct string that may change is exploded to positioned code points (runs of code points that can't change
+and whole decomposed syllables stay one unit); a broadcast join maps every code point to its decomposition, with look-alike letters, blanks, middle dots and
 invisible characters folded; combining marks are put in order of their combining class; starters and
 their marks are recomposed through a second broadcast join; the string is rebuilt in order.
 
@@ -38,8 +38,11 @@ WIDTH_TAGS = ("<wide>", "<narrow>", "<noBreak>")
 #: Beyond it no character decomposes, combines or is invisible but tags and variation selectors, which text has no use for.
 LAST = 0x30000
 L0, V0, T0, S0 = 0x1100, 0x1161, 0x11A7, 0xAC00
-#: Strings of these characters alone are already in the consistent form.
-STABLE = r"^[\x20-\x7e가-힣]*$"
+#: Strings of these characters alone are already in the consistent form. ``\z``: ``$`` would let a last line end pass.
+STABLE = r"\A[\x20-\x7e가-힣]*\z"
+#: What an unstable string is exploded to: runs of such characters up to the last one before another character, decomposed
+#: syllables that nothing combines with, and all other characters singly.
+UNITS = r"[\x20-\x7e가-힣]+(?![^\x20-\x7e가-힣])|[\u1100-\u1112][\u1161-\u1175][\u11a8-\u11c2]?(?=[\x20-\x7e가-힣\u1100-\u1112]|\z)|[\s\S]"
 
 
 def _mapped(ch: str) -> str:
@@ -131,7 +134,7 @@ def _hangul(first: Column, second: Column) -> Column:
 
 
 def _refold(marks: Column, pairs: Column) -> Column:
-    """Compose one segment in the general case: (starter, marks still open, what is finished)."""
+    """Compose one segment in the general case: (starter, marks still open, what is finished). Rare, see ``canonical_forms``."""
 
     def step(acc: Column, x: Column) -> Column:
         free = (acc["open"] == "") | ((acc["last"] < x["ccc"]) & (x["ccc"] > 0))
@@ -158,18 +161,18 @@ def _rule_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 
 def canonical_forms(strings: DataFrame, col: str) -> DataFrame:
-    """(raw, canon) of each distinct non-null string of ``col`` that isn't stable already.
+    """(sid, canon) of each distinct non-null string of ``col`` that isn't stable already; sid is the string's MD5.
 
-    Strings that are missing in the result equal their own consistent form. Only distinct unstable
-    strings are exploded; they are shuffled once, by their digest, and the window, both groupings and
-    the rebuild all reuse that partitioning.
+    Strings that are missing in the result equal their own consistent form, or have no visible character if they are
+    unstable. Only distinct unstable strings are exploded; they are shuffled once, by their digest, and the
+    window, both groupings and the rebuild all reuse that partitioning.
     """
     spark = strings.sparkSession
     rules, comps = _rule_tables(spark)
-    raw = strings.select(F.col(col).alias("raw")).where(F.col("raw").isNotNull() & ~F.col("raw").rlike(STABLE)).distinct()
-    keyed = spread(raw.withColumn("sid", F.md5("raw")), "sid")
+    raw = strings.select(F.col(col).alias("raw")).where(F.col("raw").isNotNull() & ~F.col("raw").rlike(STABLE))
+    keyed = spread(raw.groupBy(F.md5("raw").alias("sid")).agg(F.first("raw").alias("raw")), "sid")
     # the outer form keeps the optimizer from splitting in the scan's filter as well; unstable strings are never empty
-    chars = keyed.select("sid", F.posexplode_outer(F.split("raw", "")).alias("pos", "ch"))
+    chars = keyed.select("sid", F.posexplode_outer(F.regexp_extract_all("raw", F.lit(UNITS), F.lit(0))).alias("pos", "ch"))
     own = F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("ccc"), F.lit(True).alias("brk")))
     cells = (
         chars.join(F.broadcast(rules), "ch", "left")
@@ -185,23 +188,25 @@ def canonical_forms(strings: DataFrame, col: str) -> DataFrame:
     segments = placed.groupBy("sid", "seg").agg(F.sort_array(F.collect_list("x")).alias("marks"))
     segments = segments.withColumn("seq", F.array_join(F.transform("marks", lambda x: x["c"]), ""))
     pairs = F.create_map(*[F.lit(x) for kv in sorted(_pairs().items()) for x in kv])
+    # a segment that composes as a whole or has one character is done; only the others are folded step by step
     rare = F.when((F.size("marks") > 1) & F.col("composed").isNull(), _refold(F.col("marks"), pairs))
-    built = (
+    return (
         segments.join(F.broadcast(comps), segments["seq"] == comps["seq"], "left")
         .select("sid", "seg", F.coalesce("composed", rare, segments["seq"]).alias("out"))
         .groupBy("sid")
         .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg", "out"))), lambda x: x["out"]), "").alias("canon"))
     )
-    return keyed.join(built, "sid", "left").select("raw", F.coalesce("canon", F.lit("")).alias("canon"))
 
 
 def with_canonical(df: DataFrame, col: str, to: str) -> DataFrame:
     """``df`` with the consistent form of text column ``col`` as column ``to``. Every row is kept.
 
-    The forms are materialised once; rows whose text is stable, the bulk, find no partner and keep their text.
+    The forms are materialised once; rows whose text is stable or null, the bulk, are neither shuffled nor joined.
     """
-    forms = cut_lineage(canonical_forms(df, col)).select(F.col("raw").alias("__raw"), F.col("canon").alias("__canon"))
-    return df.join(forms, F.col(col) == F.col("__raw"), "left").withColumn(to, F.coalesce("__canon", col)).drop("__raw", "__canon")
+    forms = cut_lineage(canonical_forms(df, col)).select(F.col("sid").alias("__sid"), F.col("canon").alias("__canon"))
+    stable = F.coalesce(F.col(col).rlike(STABLE), F.lit(True))
+    met = df.where(~stable).withColumn("__sid", F.md5(col)).join(forms, "__sid", "left")
+    return df.where(stable).withColumn(to, F.col(col)).unionByName(met.withColumn(to, F.coalesce("__canon", F.lit(""))).drop("__sid", "__canon"))
 
 
 def look_alike_pairs(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -212,6 +217,9 @@ def look_alike_pairs(rows: DataFrame, by: list[str]) -> DataFrame:
     afterwards, so that copies of one spelling never meet each other.
     """
     on = [*by, "canon"]
+    # two spellings of one form can't both be the form, so groups without a changed row have no pairs
+    changed = rows.where("raw <> canon").select(*on).distinct()
+    rows = cut_lineage(rows.join(changed, on, "left_semi"))
     spelled = rows.groupBy(*on, "raw").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
     first = spelled.where("in_a").select(*on, F.col("raw").alias("raw_a"))
     second = spelled.where("in_b").select(*on, F.col("raw").alias("raw_b"))

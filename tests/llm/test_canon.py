@@ -65,3 +65,19 @@ def test_no_match_of_visible_differences(spark):
 def test_extra_columns(spark):
     df = spark.createDataFrame([("ａ", 1, 2, 3)], "t string, ch int, sid int, canon int")
     assert canon.with_canonical(df, "t", "c").select("c", "ch", "canon", F.lit(1)).first()[:3] == ("a", 1, 3)
+
+
+def test_line_ends_at_the_end_are_blanks(spark):
+    """A line end as the last character is a blank like any other."""
+    ends = ["\n", "\r\n", " ", "\x85", "\r", " ", " "]
+    rows = [(i, "계약" + e) for i, e in enumerate(ends)]
+    got = {r.id: r.c for r in canon.with_canonical(spark.createDataFrame(rows, "id int, t string"), "t", "c").collect()}
+    assert got == {i: canon.fold_text(t) for i, t in rows} and set(got.values()) == {"계약 ", "계약  "}
+
+
+def test_runs_before_marks(spark):
+    """The last character of a stable run may compose with what follows it."""
+    texts = ["abcéfg", "가나닥라", "xe‍́y", "ạ̇b", "́abc", "abć", "각", "plain x", "é", "①²"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    got = {r.id: r.c for r in canon.with_canonical(df, "t", "c").collect()}
+    assert got == {i: canon.fold_text(t) for i, t in enumerate(texts)}
