@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Tags whose end breaks a line or closes a cell in the filings' markup.
-LINE_ENDS = "TR|tr|P|p|TITLE|SECTION-\\d"
-CELL_ENDS = "TD|TH|TE|TU|td|th"
+# Tags whose end breaks a line or closes a cell in the filings' markup, and blocks that aren't text.
+LINE_TAGS = ["TR", "tr", "P", "p", "TITLE"]
+CELL_TAGS = ["TD", "TH", "TE", "TU", "td", "th"]
+BLOCKS = ["STYLE", "style", "script"]
+#: Stand for the end of a line and of a cell until lines are made.
+_LINE, _CELL = "\ue000", "\ue001"
 
 
 def squeeze(c: Column) -> Column:
@@ -23,17 +24,24 @@ def strip(c: Column) -> Column:
 
 
 def html_to_text(raw: Column, keep_cells: bool = True) -> Column:
-    """Readable lines of marked-up text; cell ends become `` | `` or a blank. Only ``&nbsp;`` is decoded."""
-    s = F.regexp_replace(raw, r"<(STYLE|style|script)[\s\S]*?</\1>", " ")
-    s = F.regexp_replace(s, f"</(?:{LINE_ENDS})>", "\n")
-    s = F.regexp_replace(s, f"</(?:{CELL_ENDS})>", " | " if keep_cells else " ")
-    s = F.regexp_replace(s, "<[^>]+>", "")
-    s = F.regexp_replace(s, "&nbsp;?", " ")
-    s = F.regexp_replace(s, r"[ \t]*\|[ \t]*(?:\|[ \t]*)+", " | ")
-    s = F.regexp_replace(s, r"[ \t]{2,}", " ")
-    s = F.regexp_replace(s, r"(?U)\n\s*\n+", "\n")
-    lines = F.transform(F.split(s, "\n"), lambda x: strip(F.regexp_replace(x, r"^[ |]+|[ |]+$", "")))
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    """Readable lines of marked-up text; cells are joined by `` | `` or a blank. Only ``&nbsp;`` is decoded.
+
+    The text is taken apart into blocks, tags and what is between them; each tag says whether it ends a line, a cell or nothing.
+    Lines are the texts between line ends, their cells those between cell ends; empty cells and empty lines vanish.
+    """
+    pieces = F.regexp_extract_all(raw, F.lit(rf"(?s)<({'|'.join(BLOCKS)}).*?</\1>|<[^>]+>|[^<]+|<"), F.lit(0))
+
+    def said(x: Column) -> Column:
+        name = F.regexp_extract(x, r"^</([A-Za-z]+(?:-\d)?)>$", 1)
+        tag = F.when(name.isin(LINE_TAGS) | name.rlike(r"^SECTION-\d$"), _LINE).when(name.isin(CELL_TAGS), _CELL if keep_cells else " ")
+        block = x.rlike(rf"(?s)^<(?:{'|'.join(BLOCKS)}).*</")
+        return F.when(~x.startswith("<") | (x == "<"), x).when(block, " ").otherwise(F.coalesce(tag, F.lit("")))
+
+    whole = F.regexp_replace(F.array_join(F.transform(pieces, said), ""), "&nbsp;?", " ")
+    cell = lambda c: F.btrim(F.regexp_replace(c, r"[ \t]{2,}", " "), F.lit(" |\t"))
+    row = lambda line: strip(F.array_join(F.filter(F.transform(F.split(line, _CELL), cell), lambda c: c != ""), " | "))
+    lines = F.transform(F.split(whole, f"[\n{_LINE}]"), row)
+    return F.when(raw.isNotNull(), F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
 
 
 def major_kind(report_nm: Column) -> Column:
@@ -54,11 +62,6 @@ def title_key(title: Column) -> Column:
     return F.nullif(F.regexp_replace(t, r"^(.{3,})사업$", "$1"), F.lit(""))
 
 
-def after_last(text: Column, marker: str) -> Column:
-    """Text after the last match of a regular expression; the whole text without one."""
-    return F.element_at(F.split(text, marker), -1)
-
-
 def from_last_mark(text: Column, marks: list[str]) -> Column:
     """Text from the last place of the first mark (in order of priority) that stands anywhere but at the very start."""
     out = text
@@ -66,13 +69,3 @@ def from_last_mark(text: Column, marks: list[str]) -> Column:
         at = F.length(text) - F.locate(m[::-1], F.reverse(text)) - len(m) + 2
         out = F.when((F.instr(text, m) > 0) & (at > 1), F.substring(text, at, F.length(text))).otherwise(out)
     return out
-
-
-def has(c: Column, word: str) -> Column:
-    """Whether a text holds a word; null counts as no."""
-    return F.coalesce(c.contains(word), F.lit(False))
-
-
-def literal(s: str) -> str:
-    """A string as a Java regular expression for itself."""
-    return re.sub(r"([\\.^$|()\[\]{}*+?\-])", r"\\\1", s)

@@ -38,10 +38,11 @@ def with_next(items: DataFrame, section: str | None = None) -> DataFrame:
 
 
 def numbered_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, pos, line, next_line) of the trimmed lines of each text."""
+    """(doc_id, pos, line, next_line) of the trimmed lines of each text; the last line has no next one."""
     lines = docs.select(F.col(doc_id).alias("doc_id"), F.transform(F.split(F.col(text), "\n"), strip).alias("l"))
-    rows = lines.select("doc_id", "l", F.posexplode("l").alias("pos", "line"))
-    return rows.select("doc_id", "pos", "line", F.get("l", F.col("pos") + 1).alias("next_line"))
+    # the next line is put beside its line before rows are made, so that no row carries the whole text
+    pairs = F.transform(F.arrays_zip(F.col("l").alias("line"), F.slice("l", 2, F.greatest(F.size("l"), F.lit(1))).alias("next_line")), lambda x, i: F.struct(i.alias("pos"), x["line"].alias("line"), x["next_line"].alias("next_line")))
+    return lines.select("doc_id", F.explode(pairs).alias("x")).select("doc_id", "x.*")
 
 
 def label_values(lines: DataFrame, labels: dict[str, str], known: list[str]) -> DataFrame:
@@ -51,14 +52,6 @@ def label_values(lines: DataFrame, labels: dict[str, str], known: list[str]) ->
     return rows.groupBy("doc_id").agg(*[F.min_by("value", F.when(F.col("line") == label, F.col("pos"))).alias(k) for k, label in labels.items()])
 
 
-def section_period(lines: DataFrame, section: str, window: int = 8, begin: str = "시작일", end: str = "종료일") -> DataFrame:
-    """(doc_id, begin, end): the last begin and end of the ``window`` lines from the first section line."""
-    at = lines.where(F.col("line") == section).groupBy("doc_id").agg(F.min("pos").alias("at"))
-    near = lines.join(at, "doc_id").where((F.col("pos") >= F.col("at")) & (F.col("pos") < F.col("at") + window - 1))
-    pick = lambda name: F.max_by("next_line", F.when(F.col("line") == name, F.col("pos")))
-    return near.groupBy("doc_id").agg(pick(begin).alias("begin"), pick(end).alias("end"))
-
-
 #: Words that say that something decided was called off.
 CALLED_OFF = "철회|취소|해제|무효|가처분|중단"
 

@@ -283,7 +283,7 @@ _TARGET = r"정정관련[\s\x{00a0}\x{2002}\x{2003}\x{2009}\x{202f}\x{3000}]*공
     "correction_targets",
     f"""
 SELECT doc_id, CASE WHEN y BETWEEN 2000 AND 2030 AND m BETWEEN 1 AND 12 AND dd BETWEEN 1 AND 31 THEN y::VARCHAR || lpad(m::VARCHAR, 2, '0') || lpad(dd::VARCHAR, 2, '0') END AS target FROM (
- SELECT doc_id, try_cast(regexp_extract(h, '{_TARGET}', 1) AS INT) AS y, try_cast(regexp_extract(h, '{_TARGET}', 2) AS INT) AS m, try_cast(regexp_extract(h, '{_TARGET}', 3) AS INT) AS dd FROM (SELECT doc_id, substr(text, 1, 60000) AS h FROM documents))
+ SELECT doc_id, try_cast(regexp_extract(h, '{_TARGET}', 1) AS INT) AS y, try_cast(regexp_extract(h, '{_TARGET}', 2) AS INT) AS m, try_cast(regexp_extract(h, '{_TARGET}', 3) AS INT) AS dd FROM (SELECT doc_id, text AS h FROM documents))
 """,
 )
 def correction_targets(spark: SparkSession, d: str) -> DataFrame:
@@ -294,7 +294,7 @@ def correction_targets(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "number_fingerprint",
     r"""
-WITH n AS (SELECT doc_id, corp_code, report_nm, list_distinct([replace(x, ',', '') FOR x IN regexp_extract_all(substr(text, 1, 120000), '\b\d{1,3}(?:,\d{3}){2,}\b')]) AS nums FROM documents WHERE text IS NOT NULL AND corp_code IS NOT NULL)
+WITH n AS (SELECT doc_id, corp_code, report_nm, list_distinct([replace(x, ',', '') FOR x IN regexp_extract_all(text, '\b\d{1,3}(?:,\d{3}){2,}\b')]) AS nums FROM documents WHERE text IS NOT NULL AND corp_code IS NOT NULL)
 SELECT a.doc_id AS a_id, b.doc_id AS b_id, count(*) AS shared FROM (SELECT doc_id, corp_code, unnest(nums) AS x FROM n) a JOIN (SELECT doc_id, corp_code, unnest(nums) AS x FROM n) b ON a.corp_code = b.corp_code AND a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
 """,
 )

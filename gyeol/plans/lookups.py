@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gyeol.functions import dates, numbers, text, units
 from gyeol.operators import eav, facts, grids
 from gyeol.plans.base import query
+from gyeol.plans.oracle_units import half
 from gyeol.session import table
 
 SQ = r"regexp_replace(item_name, '[\s\x{00a0}\x{2002}\x{2003}\x{2009}\x{202f}\x{3000}]+', '', 'g')"
@@ -15,12 +16,12 @@ SQ = r"regexp_replace(item_name, '[\s\x{00a0}\x{2002}\x{2003}\x{2009}\x{202f}\x{
 
 @query(
     "title_key",
-    "SELECT id, title_norm AS title_key FROM event_contract WHERE title IS NOT NULL AND title_norm IS NOT NULL",
+    "SELECT id, title IS NULL AS no_title, title_norm AS stored, CASE WHEN title IS NULL THEN NULL ELSE title_norm IS NOT NULL END AS agrees FROM event_contract",
 )
 def title_key(spark: SparkSession, d: str) -> DataFrame:
-    """The key made anew from each title, where both the title and the stored key are there."""
-    rows = table(spark, d, "event_contract").where("title is not null and title_norm is not null")
-    return rows.select("id", text.title_key(F.col("title")).alias("title_key"))
+    """The key made anew from each title against the stored one: they agree wherever both are there."""
+    key = text.title_key(F.col("title"))
+    return table(spark, d, "event_contract").select("id", F.col("title").isNull().alias("no_title"), F.col("title_norm").alias("stored"), F.when(key.isNotNull(), F.coalesce(key == F.col("title_norm"), F.lit(False))).alias("agrees"))
 
 
 @query(
@@ -51,14 +52,19 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", text.html_to_text(raw).alias("body"))
 
 
+_HALF = half("item_value")
+_BLANK = r"[\s\x{00a0}\x{2002}\x{2003}\x{2009}\x{202f}\x{3000}]"
+_trim = lambda c: rf"regexp_replace({c}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+_FLAGS = ", ".join(f"'{x}'" for x in [*numbers.ABSENT, *numbers.FLAG_WORDS])
+
+
 @query(
     "amount_parse",
-    r"""
-SELECT id, CASE WHEN regexp_matches(t, '^-?\d+$') THEN try_cast(t AS BIGINT) END AS whole,
-  try_cast(f AS DOUBLE) AS real_value, CASE WHEN regexp_matches(t, '^-?\d+(\.\d+)?$') THEN try_cast(t AS DOUBLE) END AS num,
-  regexp_matches(item_value, '^\s*(?:[-–—]|해당|미해당|예|아니오|유|무|Y|N|\(?-?[\d,]+(?:\.\d+)?\)?%?|\d{4}\s*[-.년]\s*\d{1,2}\s*[-.월]\s*\d{1,2}\s*일?)\s*$') AS value_like
-FROM (SELECT id, item_value, trim(replace(item_value, ',', '')) AS t, trim(replace(replace(item_value, ',', ''), '%', '')) AS f FROM major_item
-  WHERE regexp_matches(item_value, '^[ -~가-힣–—]*$'))
+    rf"""
+SELECT id, CASE WHEN regexp_matches(t, '^-?[0-9]+$') THEN try_cast(t AS BIGINT) END AS whole, try_cast(f AS DOUBLE) AS real_value,
+  CASE WHEN regexp_matches(t, '^-?[0-9]+([.][0-9]+)?$') THEN try_cast(t AS DOUBLE) END AS num,
+  v IN ({_FLAGS}) OR regexp_matches(v, '^[(]?-?[0-9,]+([.][0-9]+)?[)]?%?$') OR regexp_matches(v, '^[0-9]{{4}}{_BLANK}*[-.년]{_BLANK}*[0-9]{{1,2}}{_BLANK}*[-.월]{_BLANK}*[0-9]{{1,2}}{_BLANK}*일?$') AS value_like
+FROM (SELECT id, {_trim("h")} AS v, {_trim("replace(h, ',', '')")} AS t, {_trim("replace(replace(h, ',', ''), '%', '')")} AS f FROM (SELECT id, {_HALF} AS h FROM major_item))
 """,
 )
 def amount_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -67,20 +73,22 @@ def amount_parse(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "major_item").select("id", numbers.to_int(v).alias("whole"), numbers.to_float(v).alias("real_value"), numbers.to_num(v).alias("num"), numbers.value_like(v).alias("value_like"))
 
 
-def _ymd_sql(pat: str, extra: str = "") -> str:
-    y, m, d = (f"regexp_extract(item_value, '{pat}', {k})" for k in (1, 2, 3))
-    return f"CASE WHEN try_cast({m} AS INT) BETWEEN 1 AND 12 AND try_cast({d} AS INT) BETWEEN 1 AND 31{extra} THEN {y} || lpad({m}, 2, '0') || lpad({d}, 2, '0') END"
+def _day_sql(gap_1: str, gap_2: str, lo: int, hi: int) -> str:
+    """A date of the text h: year, month and day by one pattern, checked for their ranges."""
+    part = lambda k: f"regexp_extract(h, '([0-9]{{4}}){gap_1}([0-9]{{1,2}}){gap_2}([0-9]{{1,2}})', {k})"
+    number = lambda k: f"try_cast({part(k)} AS INT)"
+    return f"CASE WHEN {number(1)} BETWEEN {lo} AND {hi} AND {number(2)} BETWEEN 1 AND 12 AND {number(3)} BETWEEN 1 AND 31 THEN {part(1)} || lpad({part(2)}, 2, '0') || lpad({part(3)}, 2, '0') END"
 
 
-_L, _S, _P = r"(\d{4})[-.년\s]*(\d{1,2})[-.월\s]*(\d{1,2})", r"(\d{4})\s*[-.년]\s*(\d{1,2})\s*[-.월]\s*(\d{1,2})", r"(\d{4})\s*[-.년월]\s*(\d{1,2})\s*[-.년월]\s*(\d{1,2})\s*일?"
-_YEARS = f" AND try_cast(regexp_extract(item_value, '{_P}', 1) AS INT) BETWEEN 2000 AND 2030"
+_ANY = lambda marks: rf"[{marks}\s\x{{00a0}}\x{{2002}}\x{{2003}}\x{{2009}}\x{{202f}}\x{{3000}}]*"
+_ONE = lambda marks: rf"{_BLANK}*[{marks}]{_BLANK}*"
 
 
 @query(
     "date_parse",
     f"""
-SELECT id, {_ymd_sql(_L)} AS loose, {_ymd_sql(_S)} AS strict, {_ymd_sql(_P, _YEARS)} AS pointer
-FROM contract_item WHERE regexp_matches(item_value, '^[ -~가-힣–—]*$')
+SELECT id, {_day_sql(_ANY("-.년"), _ANY("-.월"), 0, 9999)} AS loose, {_day_sql(_ONE("-.년"), _ONE("-.월"), 0, 9999)} AS strict, {_day_sql(_ONE("-.년월"), _ONE("-.년월"), 2000, 2030)} AS pointer
+FROM (SELECT id, {_HALF} AS h FROM contract_item)
 """,
 )
 def date_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -129,18 +137,16 @@ def arithmetic_checks(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "main_amount",
     """
-SELECT id, coalesce(nullif(amount_krw, 0), nullif(shares_common, 0) * nullif(price_share, 0), nullif(use_total, 0)) AS amount,
- CASE WHEN coalesce(amount_krw, 0) <> 0 THEN 'stated' WHEN coalesce(shares_common * price_share, 0) <> 0 THEN 'product' WHEN coalesce(use_total, 0) <> 0 THEN 'uses' END AS source
-FROM event_major
+SELECT id, coalesce(stated, gross, nullif(use_total, 0)) AS amount, CASE WHEN stated IS NOT NULL THEN 'stated' WHEN gross IS NOT NULL THEN '신주 수 × 발행가액' WHEN coalesce(use_total, 0) <> 0 THEN '자금조달의 목적 합계' END AS source
+FROM (SELECT *, CASE WHEN major_kind <> '유상증자결정' THEN nullif(amount_krw, 0) END AS stated, CASE WHEN major_kind = '유상증자결정' THEN nullif(shares_common, 0) * nullif(price_share, 0) END AS gross FROM event_major)
 """,
 )
 def main_amount(spark: SparkSession, d: str) -> DataFrame:
-    """Zero counts as missing in the chain of sources of the main amount."""
+    """The chain of sources of the main amount, zero counting as missing: a rights issue is taken as one that states no amount."""
     c = F.col
-    product = F.try_multiply(numbers.first_nonzero(c("shares_common")), numbers.first_nonzero(c("price_share")))
-    stated, uses = numbers.first_nonzero(c("amount_krw")), numbers.first_nonzero(c("use_total"))
-    source = F.when(stated.isNotNull(), "stated").when(product.isNotNull(), "product").when(uses.isNotNull(), "uses")
-    return table(spark, d, "event_major").select("id", F.coalesce(stated, product, uses).alias("amount"), source.alias("source"))
+    stated = F.when(c("major_kind") != facts.RIGHTS, numbers.first_nonzero(c("amount_krw")))
+    amount, source = facts.main_amount(c("major_kind"), stated, c("shares_common"), c("price_share"), numbers.first_nonzero(c("use_total")))
+    return table(spark, d, "event_major").select("id", amount.alias("amount"), source.alias("source"))
 
 
 @query(
@@ -150,8 +156,7 @@ SELECT id, CASE trim(item_value) WHEN '해당' THEN 1 WHEN '미해당' THEN 0 EN
 """,
 )
 def flag_map(spark: SparkSession, d: str) -> DataFrame:
-    v = F.trim("item_value")
-    return table(spark, d, "contract_item").where(F.col("item_name").contains("대규모법인")).select("id", F.when(v == "해당", 1).when(v == "미해당", 0).alias("flag"))
+    return table(spark, d, "contract_item").where(F.col("item_name").contains("대규모법인")).select("id", facts.large_corporation(F.col("item_value")).alias("flag"))
 
 
 @query(
@@ -161,8 +166,7 @@ SELECT id, CASE WHEN currency IS NOT NULL AND NOT regexp_matches(currency, '^[0-
 """,
 )
 def currency_code(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col("currency")
-    return table(spark, d, "event_major").select("id", F.when(~c.rlike("^[0-9,. -]*$"), F.nullif(F.regexp_extract(c, "[A-Z]{3}", 0), F.lit(""))).alias("code"))
+    return table(spark, d, "event_major").select("id", facts.currency_code(F.col("currency")).alias("code"))
 
 
 @query(
@@ -188,12 +192,10 @@ def pick_items(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "pick_after",
     f"""
-SELECT doc_id, arg_min(nxt, seq) AS after_previous FROM (SELECT doc_id, seq, {SQ} AS n, lead(item_value) OVER (PARTITION BY doc_id ORDER BY seq, id) AS nxt
- FROM holding_item WHERE section = 'summary' QUALIFY row_number() OVER (PARTITION BY doc_id, seq ORDER BY loaded_at DESC, id DESC) = 1)
-WHERE contains(n, '직전보고서') AND nxt IS NOT NULL GROUP BY doc_id
-""".replace("OVER (PARTITION BY doc_id ORDER BY seq, id) AS nxt", "OVER (PARTITION BY doc_id ORDER BY seq) AS nxt").replace(
-        "FROM holding_item WHERE section = 'summary' QUALIFY", "FROM (SELECT * FROM holding_item WHERE section = 'summary' QUALIFY"
-    ).replace("id DESC) = 1)", "id DESC) = 1))"),
+WITH live AS (SELECT * FROM holding_item WHERE section = 'summary' QUALIFY row_number() OVER (PARTITION BY doc_id, seq ORDER BY loaded_at DESC, id DESC) = 1),
+following AS (SELECT doc_id, seq, {SQ} AS n, lead(item_value) OVER (PARTITION BY doc_id ORDER BY seq) AS nxt FROM live)
+SELECT doc_id, arg_min(nxt, seq) AS after_previous FROM following WHERE contains(n, '직전보고서') AND nxt IS NOT NULL GROUP BY doc_id
+""",
 )
 def pick_after(spark: SparkSession, d: str) -> DataFrame:
     """The value of the item that follows the previous report's shares in the summary."""
@@ -270,19 +272,22 @@ def section_rules(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "holding_item").select("id", grids.section_of(cells).alias("section"), grids.personal_flag(cells).alias("pii"))
 
 
+_LABEL = rf"regexp_replace(regexp_replace(regexp_extract({half('item_name')}, '([^>]*)$', 1), '{_BLANK}+', '', 'g'), '^(?:[0-9]{{1,2}}[.．])?[-－ㆍ·]?', '')"
+
+
 @query(
     "form_decision",
-    r"""
-SELECT doc_id, CASE WHEN regexp_matches(t, '확정 ?계약금액') OR regexp_matches(t, '계약금액 ?총액') THEN '코스닥' WHEN contains(t, '체결계약명') THEN '의무' WHEN contains(t, '세부내용') THEN '자율' ELSE '' END AS form
-FROM (SELECT doc_id, string_agg(item_name, chr(10) ORDER BY seq, id) AS t FROM contract_item GROUP BY doc_id)
+    f"""
+SELECT doc_id, CASE WHEN max((k = '투자금액(원)')::INT) = 1 AND max((k = '자기자본(원)')::INT) = 1 THEN '시설투자' WHEN max((k IN ('해지금액(원)', '해지계약명'))::INT) = 1 THEN '해지'
+ WHEN max((k IN ('확정계약금액', '계약금액총액(원)', '판매ㆍ공급계약내용'))::INT) = 1 THEN '코스닥' WHEN max((k = '체결계약명')::INT) = 1 THEN '의무' WHEN max((k = '세부내용')::INT) = 1 THEN '자율' ELSE '' END AS form
+FROM (SELECT doc_id, {_LABEL} AS k FROM contract_item) GROUP BY doc_id
 """,
 )
 def form_decision(spark: SparkSession, d: str) -> DataFrame:
-    """A decision list over all item names of a document; each sign is one conditional aggregate."""
-    n = F.col("item_name")
-    sign = lambda p: F.max(n.rlike(p).cast("int")) == 1
-    form = F.when(sign("확정 ?계약금액") | sign("계약금액 ?총액"), "코스닥").when(sign("체결계약명"), "의무").when(sign("세부내용"), "자율").otherwise("")
-    return table(spark, d, "contract_item").groupBy("doc_id").agg(form.alias("form"))
+    """The form of each document by its items' names as label lines; no text is put together."""
+    line = F.regexp_extract(units.half_width(F.col("item_name")), "([^>]*)$", 1)
+    lines = table(spark, d, "contract_item").select("doc_id", F.col("seq").alias("pos"), line.alias("line"), F.col("item_value").alias("next_line"))
+    return facts.contract_forms(lines).select("doc_id", "form")
 
 
 def _markup(rows: DataFrame) -> DataFrame:
@@ -331,18 +336,21 @@ def rowspan_fill(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "header_merge",
     """
-SELECT id::VARCHAR AS doc_id, corp_code || ' > 계약 금액' AS item_name, CAST(amount_krw AS VARCHAR) AS item_value FROM event_contract WHERE amount_krw IS NOT NULL
-UNION ALL SELECT id::VARCHAR, corp_code || ' > 계약 근거', CAST(base_amount AS VARCHAR) FROM event_contract WHERE amount_krw IS NOT NULL AND base_amount IS NOT NULL
+WITH e AS (SELECT id::VARCHAR AS doc_id, corp_code AS c, amount_krw::VARCHAR AS a, base_amount::VARCHAR AS b FROM event_contract WHERE amount_krw IS NOT NULL),
+p AS (SELECT doc_id, 1 AS o, c || ' > 계약 금액' AS item_name, a AS item_value FROM e UNION ALL SELECT doc_id, 2, c || ' > 계약 근거', b FROM e WHERE b IS NOT NULL
+ UNION ALL SELECT doc_id, 3, '회사 > 계약 > 계약', '비고' FROM e UNION ALL SELECT doc_id, 4, '회사 > 금액 > 근거', '기타' FROM e
+ UNION ALL SELECT doc_id, 5, c, a FROM e UNION ALL SELECT doc_id, 6, a, b FROM e WHERE b IS NOT NULL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o)::INT AS seq, item_name, item_value FROM p
 """,
 )
 def header_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Two header rows are merged into column names; the pairs read by column come first."""
+    """Two header rows are merged into column names; the pairs read by column come first, then those read row by row."""
     rows = table(spark, d, "event_contract").where("amount_krw is not null")
     raw = F.concat(
         F.lit("<table><tr><th rowspan='2'>회사</th><th>계약</th><th>계약</th><th>비고</th></tr><tr><th>금액</th><th>근거</th><th>기타</th></tr><tr><td>"), "corp_code", F.lit("</td><td>"),
         F.col("amount_krw").cast("string"), F.lit("</td><td>"), F.coalesce(F.col("base_amount").cast("string"), F.lit("")), F.lit("</td><td></td></tr></table>"))
     items = grids.table_items(grids.grid_rows(rows.select(F.col("id").cast("string").alias("doc_id"), raw.alias("raw")), "doc_id", "raw"))
-    return items.where(F.col("item_name").rlike("> 계약 (금액|근거)$")).select("doc_id", "item_name", "item_value")
+    return items.select("doc_id", "seq", "item_name", "item_value")
 
 
 @query(

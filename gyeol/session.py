@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -19,6 +23,7 @@ def local_session(cpus: int | str = 8, name: str = "gyeol") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("GYEOL_DRIVER_MEMORY", "8g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -26,20 +31,33 @@ def local_session(cpus: int | str = 8, name: str = "gyeol") -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where the setting is absent (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``. Only a session on this machine may do without one; a cluster may not."""
     sc = spark.sparkContext
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="gyeol-checkpoint-"))
+        if conf is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if conf is None:
+            conf = tempfile.mkdtemp(prefix="gyeol-checkpoint-")
+            atexit.register(shutil.rmtree, conf, ignore_errors=True)
+        sc.setCheckpointDir(conf)
     return conf or sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation."""
+    """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation.
+
+    Spark removes a checkpoint with its last reader where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a written intermediate table in the shared checkpoint folder."""
+    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,6 +15,11 @@ from gyeol.sources.schemas import MANIFEST, TABLES, column_names
 SUFFIXES = ["xml", "html", "pdf"]
 
 
+def suffix_glob(suffixes: list[str]) -> str:
+    """File names with these suffixes in any case, so that no other file's bytes are read."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in s) for s in suffixes) + "}"
+
+
 def files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
@@ -58,12 +63,12 @@ def build_documents(manifest: DataFrame) -> DataFrame:
     return manifest.select(*[own[c].alias(c) if c in own else F.col(c) for c in column_names("document")])
 
 
-def document_files(spark: SparkSession, root: str) -> DataFrame:
+def document_files(spark: SparkSession, root: str, suffixes: list[str] = SUFFIXES) -> DataFrame:
     """(folder, path, suffix, content) of the files of all document folders; folder is relative and composed."""
-    raw = files(spark, root).select("path", "content")
+    raw = files(spark, root, suffix_glob(suffixes)).select("path", "content")
     inside = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
     out = raw.withColumn("full", inside).withColumn("folder", nfc(F.regexp_replace("full", r"/[^/]*$", ""))).withColumn("suffix", F.lower(F.regexp_extract("full", r"\.([^./]+)$", 1)))
-    return out.where(F.col("suffix").isin(SUFFIXES)).select("folder", F.col("full").alias("path"), "suffix", "content")
+    return out.where(F.col("suffix").isin(suffixes)).select("folder", F.col("full").alias("path"), "suffix", "content")
 
 
 def raw_documents(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
@@ -71,7 +76,7 @@ def raw_documents(spark: SparkSession, root: str, manifest: DataFrame) -> DataFr
     base = F.lit(root.replace("file://", "").replace("file:", "").rstrip("/") + "/")
     docs = manifest.select("doc_id", nfc(F.concat(base, "file_path")).alias("folder"))
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    parts = document_files(spark, root).where("suffix <> 'pdf'").select("folder", F.struct("path", text.alias("t")).alias("x"))
+    parts = document_files(spark, root, ["xml", "html"]).select("folder", F.struct("path", text.alias("t")).alias("x"))
     joined = docs.join(parts, "folder", "left").groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     return joined.select("doc_id", F.array_join(F.transform("xs", lambda x: x["t"]), "").alias("raw"))
 
@@ -103,6 +108,6 @@ def pdf_texts(spark: SparkSession, root: str, stop: str | None = None, max_pages
                 texts.append("\n".join(pages))
             yield pd.DataFrame({"folder": pdf["folder"], "path": pdf["path"], "text": texts})
 
-    pdfs = document_files(spark, root).where("suffix = 'pdf'").select("folder", "path", "content")
+    pdfs = document_files(spark, root, ["pdf"]).select("folder", "path", "content")
     got = pdfs.mapInPandas(run, "folder string, path string, text string")
     return got.groupBy("folder").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), "\n").alias("text"))
