@@ -10,13 +10,14 @@ blanks, punctuation, case, width and composition don't matter. One pass over the
 shuffle. Test items larger than ``BLOCK_CHARS`` in sum are taken in blocks, each broadcast on its own.
 
 Cases: null ids and null or empty texts share nothing; items shorter than MIN_RUN can't leak; repeated
-rows give repeated hits; should the positions of a text not reproduce its letters, its hits span the whole text; an empty set of items or documents gives an empty result; other columns don't matter.
+rows give repeated hits; runs of one item that overlap count as one; an empty set of items or documents gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -98,6 +99,41 @@ def shared_runs(text: str, items: list[tuple[int, str]], table: dict[str, list[t
     return found
 
 
+def merged_runs(runs: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Runs of one item that overlap or touch as one: an item that repeats itself meets a repeating text in many ways."""
+    out: list[tuple[int, int, int]] = []
+    for k, a, b in sorted(runs):
+        if out and out[-1][0] == k and a <= out[-1][2]:
+            out[-1] = (k, out[-1][1], max(b, out[-1][2]))
+        else:
+            out.append((k, a, b))
+    return out
+
+
+_built: dict[str, tuple] = {}
+
+
+def _index_once(key: str, shared) -> tuple[list[tuple[int, str]], dict[str, list[tuple[int, int]]]]:
+    """The items of a broadcast with their windows, built once a worker process instead of once a task; only the last block is kept."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = (shared.value, index_items(shared.value))
+    return _built[key]
+
+
+def raw_span(text: str, a: int, b: int) -> tuple[int, int]:
+    """Raw start and end of the letters a to b of a text, by bisection: for texts whose clusters don't give its letters."""
+
+    def place(n: int) -> int:
+        lo, hi = 0, len(text)
+        while lo < hi:  # the last place before which there are at most n letters
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if len(letters(text[:mid])) <= n else (lo, mid - 1)
+        return lo
+
+    return place(a), place(b)
+
+
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """The normalised items in blocks of at most BLOCK_CHARS, streamed through the driver."""
     block, size = [], 0
@@ -121,21 +157,19 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     for block in _blocks(items, item_id, item_text):
         shared = spark.sparkContext.broadcast(block)
 
-        def scan(batches, shared=shared):
+        def scan(batches, shared=shared, key=uuid.uuid4().hex):
             import pyarrow as pa
 
-            own = shared.value
-            table = index_items(own)
+            own, table = _index_once(key, shared)
             for batch in batches:
                 rows = []
                 for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     plain = letters(t)
-                    if hits := shared_runs(plain, own, table):
+                    if hits := merged_runs(shared_runs(plain, own, table)):
                         placed, starts, ends = lettered_positions(t)
-                        for k, a, b in sorted(hits):
-                            # a final sigma depends on the letters around it, its place doesn't
-                            same = placed.replace("ς", "σ") == plain.replace("ς", "σ")
-                            rows.append((i, own[k][0], b - a, starts[a] if same else 0, ends[b - 1] if same else len(t)))
+                        # a final sigma depends on the letters around it, its place doesn't
+                        same = placed.replace("ς", "σ") == plain.replace("ς", "σ")
+                        rows += [(i, own[k][0], b - a, *((starts[a], ends[b - 1]) if same else raw_span(t, a, b))) for k, a, b in hits]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types, strict=True)], names=["doc_id", "item_id", "run", "from_char", "to_char"])

@@ -109,11 +109,11 @@ def _solve(classes: list[tuple[float, int]], target: float, cap: int) -> float:
     return hi
 
 
-def mix(tokens: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(tokens: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42, weight: str | None = None, part: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(mix, shares): mix has doc_id, source, n_tokens, copies >= 1; shares has a row a source.
 
     ``tokens`` has doc_id, source, n_tokens; ``targets`` has source, target_share, max_repeat. Without
-    ``total_tokens`` the mix is as large as the caps allow with all shares met.
+    ``total_tokens`` the mix is ``part`` of the largest that the caps allow with all shares met.
     """
     spark = tokens.sparkSession
     rows = targets.where("source is not null and target_share > 0 and max_repeat > 0").limit(MAX_SOURCES + 1).collect()
@@ -131,7 +131,7 @@ def mix(tokens: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     there = {s: sum(n for _, n in c) for s, c in classes.items()}
     whole = sum(wanted[s][0] for s in there)
     most = min((there[s] * wanted[s][1] * whole / wanted[s][0] for s in there), default=0)
-    total = most if total_tokens is None else min(most, total_tokens)
+    total = most * part if total_tokens is None else min(most, total_tokens)
     plan = [(s, wanted[s][0], wanted[s][1], total * wanted[s][0] / whole, _solve(classes[s], total * wanted[s][0] / whole, wanted[s][1])) for s in sorted(there)]
     plan_df = spark.createDataFrame(plan, "source string, target_share double, max_repeat int, target_tokens double, c double")
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**52)) + F.lit(0.5)) / F.lit(float(2**52))

@@ -44,6 +44,32 @@ SELECT keep_id, coalesce(amount_id, -1) AS amount_id, coalesce(end_id, -1) AS en
 """
 
 
+def _p5_survivors() -> str:
+    """Every column of the built record: the newest value that the column's own rule lets pass."""
+    trusted = "(ratio_match IS NULL OR ratio_match <> 0)"
+    paid = f"{trusted} AND (amount_krw IS NULL OR amount_krw > 0)"
+    rules = {
+        "id": "true", "amount_krw": f"amount_krw > 0 AND {trusted}", "amount_fixed": f"{paid} AND amount_fixed > 0", "amount_cond": f"{paid} AND amount_cond >= 0",
+        "ratio_stated": f"{trusted} AND ratio_stated IS NOT NULL", "end_date": f"coalesce({_DAY.format('end_date')}, false) AND (start_date IS NULL OR end_date >= start_date)",
+        "start_date": _DAY.format("start_date"), "signed_at": _DAY.format("signed_at"), "hold_until": _DAY.format("hold_until"),
+    }
+    plain = ["doc_id", "form", "disclosure_type", "title", "title_norm", "category", "counterparty", "counterparty_rel", "region", "base_amount", "base_kind", "ratio_calc", "ratio_match", "purpose", "terminate_reason", "hold_reason", "is_large_corp", "is_correction", "loaded_at"]
+    rules |= {c: f"{c} IS NOT NULL AND trim({c}::VARCHAR) <> '' AND {c}::VARCHAR <> '-'" for c in plain}
+    order = "coalesce(rcept_dt, ''), coalesce(is_correction, -1), coalesce(loaded_at, TIMESTAMP '0001-01-01'), id"
+    first = dict.fromkeys(("ratio_calc", "ratio_match"), f"{trusted}::INT, ")
+    columns = ", ".join(f"arg_max({c}, ({first.get(c, '')}{order})) FILTER (WHERE {rule}) AS {c}" for c, rule in rules.items())
+    return f"""
+WITH v AS (SELECT e.*, {_fold("title_norm")} AS title_key, r.rcept_dt FROM event_contract e LEFT JOIN {ONCE} r USING (doc_id)),
+w AS (SELECT *, CASE WHEN corp_code IS NULL OR event_type IS NULL OR title_key IS NULL THEN id END AS own FROM v)
+SELECT corp_code, event_type, title_key, count(*) AS group_rows, {columns} FROM w GROUP BY corp_code, event_type, title_key, own
+"""
+
+
+def _p1_canonical() -> str:
+    parts = [("title", "id", "title", "event_contract"), ("counterparty", "id", "counterparty", "event_contract"), ("counterparty", "party_id", "party_name", "party"), ("file_path", "folder_id", "listed_path", "raw_folder"), ("file_path", "try_cast(rcept_no AS BIGINT)", "file_path", "document")]
+    return " UNION ALL ".join(f"SELECT '{field}' AS field, {key} AS key, {raw} AS raw, {_fold(raw)} AS canon FROM {t}" for field, key, raw, t in parts)
+
+
 def _p6() -> str:
     letters = lambda c: rf"lower(regexp_replace({_fold(c)}, '[^\p{{L}}\p{{N}}]+', '', 'g'))"
     grams = lambda key, t: f"SELECT DISTINCT {key}, substr(t, k, {MIN_RUN}) AS w FROM (SELECT {key}, t, unnest(range(1, greatest(length(t) - {MIN_RUN - 2}, 1))) AS k FROM {t})"
@@ -60,4 +86,4 @@ GROUP BY 1, 2 HAVING sum(coalesce(length(item_name), 0) + coalesce(length(item_v
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _p1(), "p3_found": P3, "p5_found": _p5(), "p6_found": _p6()}
+    return {"p1_found": _p1(), "p1_canonical": _p1_canonical(), "p5_survivors": _p5_survivors(), "p3_found": P3, "p5_found": _p5(), "p6_found": _p6()}

@@ -113,6 +113,15 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[0]
 
 
+def p7_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """The mix with unequal probabilities inside a source: a document's copies are in proportion to the root of its size."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text", F.sqrt(F.greatest(F.length("text"), F.lit(1))).alias("quality"))
+    tokens = mixing.count_tokens(docs, *mixing.tokenizer_file())
+    targets = table(spark, d, "mix_target")
+    # half of what the caps would allow, so that probabilities have room on both sides
+    return mixing.mix(tokens, targets, part=0.5, weight="quality")[0]
+
+
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     """What each source was to contribute and does."""
     return _mix(spark, d)[1]
@@ -139,7 +148,7 @@ def p8_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_canonical": p1_canonical, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p6_cleaned": p6_cleaned, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition, "p8_quality": p8_quality}
+    return {"p1_found": p1_found, "p1_canonical": p1_canonical, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_survivors": p5_survivors, "p6_found": p6_found, "p6_cleaned": p6_cleaned, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_weighted": p7_weighted, "p8_found": p8_found, "p8_composition": p8_composition, "p8_quality": p8_quality}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -88,3 +88,28 @@ def test_one_leaked_passage_leaves_the_rest(spark):
         hits = leakage.leaks(docs, spark.createDataFrame([(7, secret)], "item_id long, text string"))
         got = leakage.remove_spans(docs, hits).first()
         assert (got.text, got.removed_chars) == (f"before {mark} . after", 60), ascii(mark)
+
+
+def test_spans_without_clusters():
+    """The slow way to a span agrees with the clusters, and never gives more than the leak and its own marks."""
+    text = "앞 글, か\u3099가 " + "가나다라 " * 20 + "뒤 글"
+    plain, starts, ends = leakage.lettered_positions(text)
+    assert plain == leakage.letters(text)
+    for a, b in ((3, 60), (5, 55), (0, len(plain))):
+        x, y = leakage.raw_span(text, a, b)
+        assert leakage.letters(text[x:y]) == plain[a:b] and x <= starts[a] and y >= ends[b - 1]
+
+
+def test_only_the_span_is_removed(spark):
+    leak = "held out passage number one two three four five six seven eight nine ten eleven"
+    for tail in ("か\u3099", "가\u11a8", "e\u0301", "\u0915\u094d\u0937"):
+        docs = spark.createDataFrame([(1, f"before {leak} after {tail} end")], "doc_id long, text string")
+        items = spark.createDataFrame([(7, leak)], "item_id long, text string")
+        out = leakage.remove_spans(docs, leakage.leaks(docs, items)).first()
+        assert out.text.startswith("before ") and out.text.endswith(f" after {tail} end") and out.removed_chars == len(leak)
+
+
+def test_runs_of_one_item_are_merged():
+    item = "abcdefghij" * 6
+    runs = leakage.shared_runs(item * 3, [(1, item)], leakage.index_items([(1, item)]))
+    assert len(runs) >= 1 and len(leakage.merged_runs(runs)) == 1
