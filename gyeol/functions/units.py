@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,9 +43,27 @@ WON_UNIT = rf"(?:(?:krw|원화|₩)\s*)*(?:1,000\s*원|(?:{_KO})\s*원?|(?:{_EN}
 _ROUNDING = r"[,;]?\s*[^,;()\[\]]*(?:미만|이하|절사|반올림|절상|버림)[^,;()\[\]]*"
 
 
+@lru_cache(maxsize=1)
+def _names_of_all() -> dict[str, str]:
+    """Every ISO 4217 code, and each name and sign that the JVM's Unicode data gives to one currency only, in Korean and English."""
+    from pyspark.sql import SparkSession
+
+    jvm = SparkSession.active()._jvm
+    own, locales = jvm.com.ibm.icu.util.Currency, [jvm.com.ibm.icu.util.ULocale(x) for x in ("ko", "en")]
+    out: dict[str, set[str]] = {}
+    for c in jvm.java.util.Currency.getAvailableCurrencies().toArray():
+        code = c.getCurrencyCode()
+        money = own.getInstance(code)
+        names = [code, *(money.getName(x, style, None) for x in locales for style in (own.LONG_NAME, own.SYMBOL_NAME))]
+        for n in names:
+            out.setdefault("".join(n.lower().split()), set()).add(code)
+    return {n: next(iter(codes)) for n, codes in out.items() if len(codes) == 1}
+
+
 def _lookup(pairs: dict[str, float | str], key: Column) -> Column:
-    """Value of ``key`` in a fixed table; null for any other text. Uses its argument once, so plans stay small."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), key)
+    """Value of ``key`` in a fixed table, which is one constant of the plan; null for any other text."""
+    kind = "string" if isinstance(next(iter(pairs.values())), str) else "double"
+    return F.try_element_at(F.from_json(F.lit(json.dumps(pairs)), f"map<string,{kind}>"), key)
 
 
 def half_width(c: Column) -> Column:
@@ -74,11 +95,14 @@ def bare_won_scale(text: Column) -> Column:
 
 
 def currency_of(text: Column) -> tuple[Column, Column]:
-    """(ISO code, factor) of a free-form currency; the code is null where it isn't known, the factor 1 without a scale."""
+    """(ISO code, factor) of a free-form currency: any ISO 4217 code or name of one. The code is null where it isn't known, the factor 1 without a scale."""
     t = F.regexp_replace(F.lower(half_width(text)), r"\s+", "")
-    names = {n: iso for iso, xs in CURRENCIES.items() for n in xs}
+    common = {n: iso for iso, xs in CURRENCIES.items() for n in xs}
+    rest = _names_of_all()
     name = F.regexp_extract(t, rf"^(?:{_KO}|{_EN})?(.*?)[(\[]?(?:{_KO}|{_EN}|m|k)?[)\]]?$", 1)
     whole = F.regexp_extract(t, rf"^(?:{_KO}|{_EN})?(.*?)$", 1)
     first = F.regexp_extract(t, rf"^({_KO}|{_EN})", 1)
     last = F.regexp_extract(t, rf"({_KO}|{_EN}|m|k)[)\]]?$", 1)
-    return F.coalesce(_lookup(names, whole), _lookup(names, name)), F.coalesce(_lookup(SCALES, first), _lookup(SCALES, last), F.lit(1.0))
+    # the usual spellings first; the long table is looked at only for what is none of them
+    iso = F.coalesce(*[_lookup(x, y) for x in (common, {n: c for n, c in rest.items() if n not in common}) for y in (whole, name)])
+    return iso, F.coalesce(_lookup(SCALES, first), _lookup(SCALES, last), F.lit(1.0))

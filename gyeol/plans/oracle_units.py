@@ -73,7 +73,8 @@ UNION ALL SELECT 'market_cap', corp_code, 'KRW', {whole("market_cap", f"coalesce
 """
 
 
-def p4() -> str:
+def _p4_cells() -> str:
+    """CTEs up to v: one row an item of a field, with its value x as text."""
     lead = r"^(?:\(?[0-9]+(?:-[0-9]+)*[.)]|\(?[가-하][.)]|[①-⑳]|[-ㆍ·ᆞ•‧∙・○●□■※*])+"
     key = rf"regexp_replace(regexp_replace(regexp_extract({half('item_name')}, '([^>]*)$', 1), '{BLANKS}', '', 'g'), '{lead}', '')"
     tight = rf"regexp_replace({half('item_value')}, '[\s,]+', '', 'g')"
@@ -83,6 +84,8 @@ def p4() -> str:
     ratio = "round(try_cast(nullif(regexp_extract(t, '^([-+]?[0-9]+(?:[.][0-9]+)?)%?$', 1), '') AS DECIMAL(30,10)), 2)::DECIMAL(18,2)::VARCHAR"
     spelled = "regexp_replace(regexp_extract(d, '^[''’‘`]?((?:[0-9]{2})?[0-9]{2}[-./년][0-9]{1,2}[-./월][0-9]{1,2})[.일]?(?:[(][월화수목금토일][)])?$', 1), '[./년월]', '-', 'g')"
     date = f"strftime(coalesce(try_strptime(CASE WHEN length(split_part({spelled}, '-', 1)) = 2 THEN '20' ELSE '' END || {spelled}, '%Y-%m-%d'), try_strptime(regexp_extract(d, '^([0-9]{{8}})$', 1), '%Y%m%d')), '%Y%m%d')"
+    trimmed = rf"regexp_replace(item_value, '^{BLANKS}|{BLANKS}$', '', 'g')"
+    text = f"CASE WHEN {trimmed} NOT IN ('', '-', '–', '—', '―', 'N/A', '해당사항 없음') THEN {trimmed} END"
     flag = f"CASE WHEN upper(t) IN ({_texts(YES)}) THEN '1' WHEN upper(t) IN ({_texts(NO)}) THEN '0' END"
     src = " UNION ALL ".join(
         f"SELECT '{n}' AS source_table, doc_id, seq, item_name, item_value, {sec} AS ok FROM {n} WHERE doc_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, seq ORDER BY loaded_at DESC, id DESC) = 1"
@@ -90,7 +93,25 @@ def p4() -> str:
     )
     return f"""
 WITH live AS (SELECT * FROM ({src}) WHERE ok AND item_value IS NOT NULL),
-m AS (SELECT l.source_table, l.doc_id, l.seq, w.field, w.value_type, {tight} AS t, regexp_replace({half("item_value")}, '\\s+', '', 'g') AS d FROM live l JOIN wide_field w ON w.source_table = l.source_table AND replace(w.label, ' ', '') = {key} WHERE w.value_type <> 'text'),
-v AS (SELECT *, CASE value_type WHEN 'number' THEN {number} WHEN 'ratio' THEN {ratio} WHEN 'date' THEN {date} WHEN 'flag' THEN {flag} END AS x FROM m)
-SELECT source_table, doc_id, field, arg_max(x, seq) AS typed_value FROM v WHERE x IS NOT NULL GROUP BY 1, 2, 3
+m AS (SELECT l.source_table, l.doc_id, l.seq, l.item_value, w.field, w.value_type, {tight} AS t, regexp_replace({half("item_value")}, '\\s+', '', 'g') AS d FROM live l JOIN wide_field w ON w.source_table = l.source_table AND replace(w.label, ' ', '') = {key}),
+v AS (SELECT *, CASE value_type WHEN 'number' THEN {number} WHEN 'ratio' THEN {ratio} WHEN 'date' THEN {date} WHEN 'flag' THEN {flag} WHEN 'text' THEN {text} END AS x FROM m)
 """
+
+
+def p4() -> str:
+    return f"{_p4_cells()} SELECT source_table, doc_id, field, arg_max(x, seq) AS typed_value FROM v WHERE x IS NOT NULL AND value_type <> 'text' GROUP BY 1, 2, 3"
+
+
+#: The fields of each wide table with their types, as wide_field has them.
+WIDE = {
+    "contract_item": {"amount": "number", "base_amount": "number", "end_date": "date", "large_corp": "flag", "party": "text", "ratio": "ratio", "signed_at": "date", "start_date": "date"},
+    "major_item": {"auditor": "flag", "coupon": "ratio", "decided_at": "date", "maturity": "date", "new_shares": "number", "outside_dirs": "number", "pay_date": "date", "share_price": "number", "yield_rate": "ratio"},
+    "holding_item": {"base_date": "date", "curr_ratio": "ratio", "curr_shares": "number", "duty_date": "date", "prev_ratio": "ratio", "prev_shares": "number"},
+}
+
+
+def p4_wide(name: str) -> str:
+    cast = {"number": "{}::BIGINT", "ratio": "{}::DECIMAL(18,2)", "flag": "{}::INT", "text": "{}", "date": "strptime({}, '%Y%m%d')::DATE"}
+    value = lambda f: f"arg_max(x, seq) FILTER (WHERE field = '{f}')"
+    columns = ", ".join(f"{cast[kind].format(value(f))} AS {f}" for f, kind in WIDE[name].items())
+    return f"{_p4_cells()} SELECT doc_id, {columns} FROM v WHERE x IS NOT NULL AND source_table = '{name}' GROUP BY doc_id"

@@ -20,4 +20,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return base.ORACLES | {"p2_found": oracle_units.p2(), "p4_found": oracle_units.p4()}
+    return base.ORACLES | {"p2_found": oracle_units.p2(), "p4_found": oracle_units.p4()} | {f"p4_wide_{n.split('_')[0]}": oracle_units.p4_wide(n) for n in oracle_units.WIDE}

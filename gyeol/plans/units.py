@@ -32,13 +32,20 @@ def stated_in_items(items: DataFrame) -> DataFrame:
 
     One aggregation with map-side combine: a document has at most one row a label, the latest.
     """
-    rows = items.where(~F.coalesce(F.col("item_name").contains("정정전"), F.lit(False)))
-    rows = rows.select("doc_id", "seq", "loaded_at", "item_name", (F.trim(F.coalesce("item_value", F.lit(""))) == "").alias("blank"), F.regexp_replace(_last_part(F.col("item_name")), r"\s+", "").alias("last"))
-    kind = F.when(F.col("blank") & F.col("item_name").contains("단위"), F.lit("#line"))
-    for label, pat in OWN_ITEM.items():
-        kind = kind.when(F.col("last").rlike(f"^{pat}(?:$|[(\\[])"), F.lit(label))
-    kind = kind.when(F.col("last").rlike(OVERSEAS), F.lit("#overseas"))
-    marked = rows.withColumn("kind", kind).where("kind is not null")
+    # every name that counts has one of these words, blanks aside; the expressions below run on the few rows that have
+    bare = F.translate("item_name", " \t\n\u3000\u00a0\u2002\u2003\u2009", "")
+    near = items.where(bare.contains("금액") | bare.contains("총액") | bare.contains("단위"))
+    last = F.regexp_replace(_last_part(F.col("item_name")), r"\s+", "")
+
+    def kind_of(last: Column) -> Column:
+        kind = F.when((F.trim(F.coalesce("item_value", F.lit(""))) == "") & F.col("item_name").contains("단위"), F.lit("#line"))
+        for label, pat in OWN_ITEM.items():
+            kind = kind.when(last.rlike(f"^{pat}(?:$|[(\\[])"), F.lit(label))
+        return kind.when(last.rlike(OVERSEAS), F.lit("#overseas"))
+
+    # as a generator the kind is found once a row: a filter on a column would be computed again in the scan
+    kinds = F.when(F.col("item_name").contains("정정전"), F.array().cast("array<string>")).otherwise(F.array_compact(F.transform(F.array(last), kind_of)))
+    marked = near.select("doc_id", "seq", "loaded_at", "item_name", F.explode(kinds).alias("kind"))
     inner = F.regexp_extract(U.half_width(F.col("item_name")), r"[(\[]\s*(?:단위\s*[:=]?)?\s*([^()\[\]]+)[)\]]\s*$", 1)
     iso, factor = U.currency_of(F.col("inner"))
     marked = marked.withColumn("inner", inner).withColumns({"iso": iso, "factor": factor})
@@ -74,10 +81,12 @@ def major_units(spark: SparkSession, d: str) -> DataFrame:
         {"amount_krw": U.WON_SCALES},
         [{"amount_krw": 1, "use_total": -1}, {"amount_krw": 1, "shares_common": -1, "price_share": -1}],
     )
-    basis = F.when(F.col("__record").isNotNull(), "record").when(F.col("__item").isNotNull(), "item").when(F.col("__line").isNotNull(), "line").when(F.col("solved_amount_krw").isNotNull(), "identity").otherwise("default")
+    # a solution that isn't the only one converts nothing: it is reported as such
+    solved = F.when(F.col("solved_unique"), F.col("solved_amount_krw"))
+    basis = F.when(F.col("__record").isNotNull(), "record").when(F.col("__item").isNotNull(), "item").when(F.col("__line").isNotNull(), "line").when(solved.isNotNull(), "identity").when(F.col("solved_amount_krw").isNotNull(), "not unique").otherwise("default")
     out = em.withColumns(
         {
-            "won_scale": F.coalesce("__record", "__item", "__line", "solved_amount_krw", F.lit(1.0)),
+            "won_scale": F.coalesce("__record", "__item", "__line", solved, F.lit(1.0)),
             "won_basis": basis,
             "foreign_factor": F.when(F.col("__factor") != 1, F.col("__factor")).otherwise(F.coalesce("__overseas", F.lit(1.0))),
         }
@@ -115,4 +124,4 @@ def p2_normalized(spark: SparkSession, d: str) -> DataFrame:
     return em.select(
         "id", "doc_id", "amount_krw", "won_scale", "won_basis", _whole(F.col("amount_krw"), F.col("won_scale")).alias("amount_won"),
         "solved_unique", (F.col("solved_amount_krw").isNotNull() & (F.col("solved_amount_krw") != F.col("won_scale"))).alias("contradicted"),
-        "currency", "foreign_iso", _whole(F.col("amount_foreign"), F.when(F.col("foreign_iso").isNotNull(), F.col("foreign_factor"))).alias("foreign_units"))
+        "currency", "foreign_iso", (F.col("amount_foreign").isNotNull() & F.col("foreign_iso").isNull()).alias("currency_unknown"), _whole(F.col("amount_foreign"), F.when(F.col("foreign_iso").isNotNull(), F.col("foreign_factor"))).alias("foreign_units"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyeol.operators.wide import union_all, unpivot_cells, wide_table
+from gyeol.operators.wide import Source, union_all, unpivot_cells, wide_tables
 from gyeol.session import table
 
 TABLES = ("contract_item", "major_item", "holding_item")
@@ -21,18 +21,19 @@ def wide_fields(spark: SparkSession, d: str) -> dict[str, list[tuple[str, str, s
     return {t: [(r.field, r.label, r.value_type) for r in rows if r.source_table == t] for t in TABLES}
 
 
+def source(spark: SparkSession, d: str, name: str, fields: list[tuple[str, str, str]]) -> Source:
+    return table(spark, d, name), fields, F.col("section") == "summary" if name == "holding_item" else None
+
+
 def wide_of(spark: SparkSession, d: str, name: str) -> DataFrame:
-    keep = F.col("section") == "summary" if name == "holding_item" else None
-    return wide_table(table(spark, d, name), wide_fields(spark, d)[name], keep)
+    return wide_tables({name: source(spark, d, name, wide_fields(spark, d)[name])})[name]
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    fields = wide_fields(spark, d)
-    frames = []
-    for name in TABLES:
-        shown = [x for x in fields[name] if x[2] != "text"]
-        frames.append(unpivot_cells(wide_of(spark, d, name), shown).select(F.lit(name).alias("source_table"), "doc_id", "field", "typed_value"))
-    return union_all(frames)
+    """Cells of the three wide tables but those of type text, which aren't read or joined at all."""
+    shown = {name: [x for x in fields if x[2] != "text"] for name, fields in wide_fields(spark, d).items()}
+    wide = wide_tables({name: source(spark, d, name, fields) for name, fields in shown.items()})
+    return union_all([unpivot_cells(wide[name], fields).select(F.lit(name).alias("source_table"), "doc_id", "field", "typed_value") for name, fields in shown.items()])
 
 
 def p4_wide_contract(spark: SparkSession, d: str) -> DataFrame:

@@ -53,6 +53,21 @@ def test_unpivot_is_inverse(spark):
 
 
 def test_balanced_join_is_shallow(spark):
+    """Each table and the spine are shuffled once, by key; joining them shuffles nothing."""
     leaves = [spark.createDataFrame([(str(i % 3), i)], f"doc_id string, c{i} int") for i in range(9)]
-    out = wide.balanced_outer_join(leaves, "doc_id")
-    assert out.count() == 3 and len(out.columns) == 10
+    spine = spark.createDataFrame([("0",), ("1",), ("2",), ("3",)], "doc_id string").distinct()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    out = wide.balanced_outer_join(spine, leaves, "doc_id")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum("Exchange hashpartitioning" in line for line in plan.split("\n")) <= len(leaves) + 3  # the spine once a leaf of the tree
+    got = {r.doc_id: tuple(r)[1:] for r in out.collect()}
+    assert got == {str(k): tuple(i if i % 3 == k else None for i in range(9)) for k in range(4)}
+
+
+def test_sources_keep_apart(spark):
+    """Two sources with one doc_id, seq and field: each keeps its own."""
+    rows = lambda v: spark.createDataFrame([("d", 1, "금액", v, "2024", 1)], "doc_id string, seq int, item_name string, item_value string, loaded_at string, id long")
+    fields = [("f", "금액", "number")]
+    out = wide.wide_tables({"a": (rows("1"), fields, None), "b": (rows("2"), fields, None)})
+    assert [tuple(r) for n in ("a", "b") for r in out[n].collect()] == [("d", 1), ("d", 2)]
