@@ -90,3 +90,47 @@ def tag_labels(cells: DataFrame, label: str, least: int = 5) -> DataFrame:
     """(acode, label, n): which labels stand beside which tag, at least ``least`` times, without note numbers."""
     clean = F.trim(F.regexp_replace(F.col(label), r"\s*\((?:주석|note)[^)]*\)", ""))
     return cells.groupBy("acode", clean.alias("label")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+# ---- the same values read from the tables around them ----------------------------------------------
+#: Names of the year columns, by how many years they lie back.
+PERIODS = ["당기", "전기", "전전기"]
+
+
+def table_values(grids: DataFrame, years: DataFrame) -> DataFrame:
+    """(doc_id, table_no, label, year, value) of statement tables from their grids: a unit line, year columns, labels.
+
+    ``grids`` has doc_id, table_no, row_no, cells; ``years`` has doc_id and year, the year that 당기 stands for. A table without a unit line is
+    in single units; columns are found by 당기, 전기, 전전기 or a four-digit year in the first row that has one.
+    """
+    from gyeol.functions.numbers import to_num
+    from gyeol.functions.units import unit_line_scale
+
+    key = ["doc_id", "table_no"]
+    bare = F.regexp_replace("cell", r"(?U)\s+", "")
+    cells = grids.select(*key, "row_no", F.get("cells", F.lit(0)).alias("first"), F.posexplode("cells").alias("col", "cell"))
+    back = F.when(bare == PERIODS[0], 0).when(bare == PERIODS[1], 1).when(bare == PERIODS[2], 2)
+    stated = F.nullif(F.regexp_extract("cell", r"^\D*(20\d{2})\D*$", 1), F.lit("")).cast("int")
+    heads = cells.where(F.col("col") > 0).select(*key, "row_no", "col", back.alias("back"), stated.alias("stated")).where("back is not null or stated is not null")
+    top = heads.groupBy(*key).agg(F.min("row_no").alias("head_row"))
+    heads = heads.join(top, key).where("row_no = head_row").select(*key, "col", "head_row", "back", "stated")
+    scale = cells.groupBy(*key).agg(F.max(unit_line_scale(F.col("cell"))).alias("scale"))
+    body = cells.where(F.col("col") > 0).select(*key, "row_no", "col", "first", to_num(F.regexp_replace("cell", r"^\s*[(△](.*?)\)?\s*$", "-$1")).alias("number")).where("number is not null")
+    got = body.join(heads, [*key, "col"]).where("row_no > head_row").join(scale, key, "left").join(years, "doc_id", "left")
+    value = F.round(F.col("number") * F.coalesce("scale", F.lit(1.0))).cast("long")
+    return got.select("doc_id", "table_no", clean_label(F.col("first")).alias("label"), F.coalesce("stated", F.col("year") - F.col("back")).alias("year"), value.alias("value")).where("year is not null")
+
+
+def clean_label(c: Column) -> Column:
+    """An account name without blanks at its ends and without its note."""
+    return F.trim(F.regexp_replace(c, r"\s*\((?:주석|note)[^)]*\)", ""))
+
+
+def score_tables(tables: DataFrame, tagged: DataFrame, labels: DataFrame) -> DataFrame:
+    """(acode, n, agree, missing): values read from tables against the tagged ones of the same documents, by tag.
+
+    ``tables`` is of ``table_values``, ``tagged`` of ``statement_values``, ``labels`` of ``tag_labels``.
+    """
+    found = tables.join(labels.select("acode", "label"), "label").groupBy("doc_id", "acode", "year").agg(F.collect_set("value").alias("read"))
+    both = tagged.join(found, ["doc_id", "acode", "year"], "left")
+    return both.groupBy("acode").agg(F.count("*").alias("n"), F.count_if(F.array_contains("read", F.col("value"))).alias("agree"), F.count_if(F.col("read").isNull()).alias("missing"))

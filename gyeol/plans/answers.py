@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gyeol.functions.text import strip
 from gyeol.operators import facts, relation, search
 from gyeol.operators.wide import label_key, latest_copies
+from gyeol.plans import oracle_facts
 from gyeol.plans.base import query, tables
 from gyeol.plans.relational import ONCE, documents_once
 from gyeol.session import table
@@ -230,7 +232,7 @@ def label_dictionary(spark: SparkSession, d: str) -> DataFrame:
     return items.groupBy(label_key(F.col("item_name")).alias("label"), "item_name").agg(F.count("*").alias("n")).where("n >= 5")
 
 
-@query("facts_major")
+@query("facts_major", oracle_facts.major())
 def facts_major(spark: SparkSession, d: str) -> DataFrame:
     """Wide rows of all decisions extracted from their items."""
     items = latest_copies(table(spark, d, "major_item"), ["doc_id", "seq"], ["loaded_at", "id"]).select("doc_id", "seq", "item_name", "item_value")
@@ -238,23 +240,25 @@ def facts_major(spark: SparkSession, d: str) -> DataFrame:
     return facts.major_facts(items, kinds)
 
 
-@query("facts_holding")
+@query("facts_holding", oracle_facts.holding())
 def facts_holding(spark: SparkSession, d: str) -> DataFrame:
     """Wide rows of all holding reports extracted from their items."""
     items = latest_copies(table(spark, d, "holding_item"), ["doc_id", "seq"], ["loaded_at", "id"]).select("doc_id", "seq", "section", "item_name", "item_value")
     forms = documents_once(spark, d).where("doc_group = 'holding'").select("doc_id", facts.holding_form(F.col("report_nm")).alias("form"))
-    return facts.holding_facts(items, forms)
+    return facts.holding_facts(items, forms).withColumn("ratio_calc", F.round("ratio_calc", 3))
 
 
-@query("facts_contract")
+@query("facts_contract", oracle_facts.contract())
 def facts_contract(spark: SparkSession, d: str) -> DataFrame:
-    """Contract rows from documents rebuilt as lines of label and value."""
+    """Contract rows from items as lines of label and value, each document named by its id; no text is put together."""
     items = latest_copies(table(spark, d, "contract_item"), ["doc_id", "seq"], ["loaded_at", "id"])
-    last = F.element_at(F.split("item_name", ">"), -1)
-    line = F.concat(F.trim(F.regexp_replace(last, r"(?U)\s+", " ")), F.lit("\n"), F.coalesce("item_value", F.lit("-")))
-    text = items.select("doc_id", F.struct("seq", line.alias("l")).alias("x")).groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    docs = text.select("doc_id", F.concat(F.lit("\n- 체결계약명\n"), "doc_id", F.lit("\n"), F.array_join(F.transform("xs", lambda x: x["l"]), "\n")).alias("text"))
-    return facts.contract_facts(docs)
+    label = F.trim(F.regexp_replace(F.regexp_extract("item_name", "([^>]*)$", 1), r"(?U)\s+", " "))
+    value, at = F.coalesce("item_value", F.lit("-")), F.col("seq") * 2
+    line = lambda pos, text, after: F.struct(pos.cast("int").alias("pos"), text.alias("line"), after.alias("next_line"))
+    lines = items.select("doc_id", F.explode(F.array(line(at, label, value), line(at + 1, strip(value), F.lit(None).cast("string")))).alias("x")).select("doc_id", "x.*")
+    names = items.select("doc_id").distinct().select("doc_id", F.lit(-2).alias("pos"), F.lit("- 체결계약명").alias("line"), F.col("doc_id").alias("next_line"))
+    got = facts.line_facts(lines.unionByName(names))
+    return got.withColumn("ratio_calc", F.round("ratio_calc", 3))
 
 
 def relation_documents(spark: SparkSession, d: str) -> DataFrame:

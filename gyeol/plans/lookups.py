@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gyeol.functions import dates, numbers, text, units
 from gyeol.operators import eav, facts, grids
+from gyeol.plans import oracle_facts
 from gyeol.plans.base import query
 from gyeol.plans.oracle_units import half
 from gyeol.session import table
@@ -248,7 +249,7 @@ def mode_with_ties(spark: SparkSession, d: str) -> DataFrame:
     return eav.mode_value(docs, ["doc_group"], "report_nm", "o").select("doc_group", F.col("report_nm").alias("top_name"), "n")
 
 
-@query("correction_reasons")
+@query("correction_reasons", oracle_facts.REASONS)
 def correction_reasons(spark: SparkSession, d: str) -> DataFrame:
     from gyeol.operators.wide import latest_copies
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gyeol.plans import answers, base, lookups, oracle_units, relational, relations, streams, units, wide  # noqa: F401  (registering)
+from gyeol.plans import answers, base, lookups, oracle_units, relational, relations, reports, streams, units, wide  # noqa: F401  (registering)
 from gyeol.plans.base import Query
 
 _OWN: dict[str, Query] = {
