@@ -255,6 +255,18 @@ ROW_CHECKS = {
         ("no negative amount", "amount_krw < 0 or base_amount < 0", None),
         ("start before end", "start_date > end_date", None),
         ("contract dates are days", "start_date not rlike '^20[0-9]{6}$' or end_date not rlike '^20[0-9]{6}$'", "NOT regexp_matches(start_date, '^20[0-9]{6}$') OR NOT regexp_matches(end_date, '^20[0-9]{6}$')"),
+        ("one row a version has a document", "doc_id is null", None),
+        ("allowed pairs of type and form", "concat(event_type, ' ', form) not in ('contract 의무', 'contract 자율', 'contract 코스닥', 'termination 해지', 'investment 시설투자')", None),
+        ("form found", "form is null or form = ''", None),
+        ("disclosure type vocabulary", "disclosure_type not in ('mandatory', 'voluntary')", None),
+        ("signed within the corpus", "signed_at < '19900101' or signed_at > '20991231'", None),
+        ("ratio can be checked where both sides are there", "ratio_match is null and ratio_stated is not null and amount_krw > 0 and base_amount > 0", None),
+        ("ratio verdict is 0 or 1", "ratio_match not in (0, 1)", None),
+        ("held back with a reason", "hold_until is not null and hold_reason is null", None),
+        ("termination has a reason", "event_type = 'termination' and terminate_reason is null", None),
+        ("title is there", "title is null", None),
+        ("amount is there or held back", "amount_krw is null and hold_until is null", None),
+        ("counterparty is there", "counterparty is null", None),
         ("title key wherever a title", "title is not null and title_norm is null", None),
     ],
     "event_major": [
@@ -263,10 +275,26 @@ ROW_CHECKS = {
         ("withdrawn means corrected", "is_withdrawn = 1 and is_correction <> 1", None),
         ("no negative number", "amount_krw < 0 or shares_common < 0 or price_share < 0", None),
         ("decided on a day", "decided_at not rlike '^20[0-9]{6}$'", "NOT regexp_matches(decided_at, '^20[0-9]{6}$')"),
+        ("one row a decision has a document", "doc_id is null", None),
+        ("kind is there", "major_kind is null", None),
+        ("verdict is 0 or 1", "check_ok not in (0, 1)", None),
+        ("purpose of proceeds for issues", "major_kind in ('유상증자결정', '전환사채권발행결정', '교환사채권발행결정') and use_total is null", None),
+        ("disposal methods only for disposals", "method_etc is not null and major_kind <> '자기주식처분결정'", None),
+        ("start before end", "start_date > end_date", None),
+        ("decided before it starts", "decided_at > start_date", None),
+        ("foreign amount has a currency", "amount_foreign is not null and currency is null", None),
         ("disposal has a purpose", "major_kind = '자기주식처분결정' and disposal_purpose is null", None),
     ],
     "holding_item": [
         ("known sections", "section not in ('summary', 'issuer', 'report_type', 'correction', 'reporter', 'related_party', 'fund_list', 'change_detail', 'holding_detail', 'holding_total', 'holding', 'account', 'funding_source', 'loan', 'contract', 'purpose', 'change_method', 'note', 'other')", None),
+        ("item has a document", "doc_id is null", None),
+        ("item has a name", "item_name is null or item_name = ''", None),
+        ("names within 160 characters", "length(item_name) > 160", None),
+        ("section is there", "section is null", None),
+        ("other is rare", "section = 'other'", None),
+        ("personal data", "has_pii = 1", None),
+        ("value is there", "item_value is null", None),
+        ("seq counts from 1", "seq < 1", None),
         ("personal-data flag is 0 or 1", "has_pii not in (0, 1) or has_pii is null", None),
     ],
 }

@@ -81,3 +81,21 @@ def test_schemas(spark):
     schemas.create_tables(spark, ["doc_relation"])
     assert spark.table("doc_relation").columns == schemas.column_names("doc_relation")
     spark.sql("DROP TABLE doc_relation")
+
+
+def test_load_corpus(spark, root, tmp_path):
+    """One call reads, types, writes and reports everything; a second one gives the same."""
+    from gyeol.sources.loader import load_corpus
+
+    (root / "raw/e").mkdir()
+    body = "<P>단일판매ㆍ공급계약 체결</P><TABLE><TR><TD>- 체결계약명</TD></TR><TR><TD>배터리 공급</TD></TR><TR><TD>계약금액(원)</TD><TD>1,000</TD></TR></TABLE>"
+    (root / "raw/e/1.xml").write_text(f"<html>{body}</html>", encoding="utf-8")
+    more = DOC | dict(doc_id="exchange_4", doc_group="exchange", doc_subtype="단일판매공급계약체결", report_nm="단일판매ㆍ공급계약체결", is_correction=False, rcept_no="20240101000004", base_year=None, base_month=None, file_path="raw/e", file_format="xml")
+    with open(root / "manifest.jsonl", "a", encoding="utf-8") as f:
+        f.write("\n" + json.dumps(more, ensure_ascii=False))
+    out = str(tmp_path / "db")
+    first = {(r.table, r.kind): r.n for r in load_corpus(spark, str(root), out).collect()}
+    assert first["document", "periodic"] == 2 and first["company", "all"] == 1 and first["contract_item", "all"] == 1 and first["event_contract", "contract"] == 1
+    got = spark.read.parquet(f"{out}/event_contract.parquet").first()
+    assert (got.title, got.form, got.disclosure_type, got.corp_code) == ("배터리 공급", "의무", "mandatory", "00126380")
+    assert {(r.table, r.kind): r.n for r in load_corpus(spark, str(root), out).collect()} == first
