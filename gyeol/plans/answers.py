@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gyeol.functions.text import strip
 from gyeol.operators import facts, relation, search
 from gyeol.operators.wide import label_key, latest_copies
-from gyeol.plans import oracle_facts
+from gyeol.plans import oracle_facts, oracle_units
 from gyeol.plans.base import query, tables
 from gyeol.plans.relational import ONCE, documents_once
 from gyeol.session import table
@@ -225,7 +225,7 @@ def input_guard(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_item").select("item_id", kind.alias("kind"))
 
 
-@query("label_dictionary")
+@query("label_dictionary", f"SELECT {oracle_units.label_key_sql()} AS label, item_name, count(*) AS n FROM contract_item WHERE item_name IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5")
 def label_dictionary(spark: SparkSession, d: str) -> DataFrame:
     """Spellings of each attribute with their frequency, those seen at least five times."""
     items = table(spark, d, "contract_item").where("item_name is not null")

@@ -73,10 +73,15 @@ UNION ALL SELECT 'market_cap', corp_code, 'KRW', {whole("market_cap", f"coalesce
 """
 
 
+def label_key_sql() -> str:
+    """Comparable form of an attribute: the last part of its path without blanks, numbering and bullets."""
+    lead = r"^(?:\(?[0-9]+(?:-[0-9]+)*[.)]|\(?[가-하][.)]|[①-⑳]|[-ㆍ·ᆞ•‧∙・○●□■※*])+"
+    return rf"regexp_replace(regexp_replace(regexp_extract({half('item_name')}, '([^>]*)$', 1), '{BLANKS}', '', 'g'), '{lead}', '')"
+
+
 def _p4_cells() -> str:
     """CTEs up to v: one row an item of a field, with its value x as text."""
-    lead = r"^(?:\(?[0-9]+(?:-[0-9]+)*[.)]|\(?[가-하][.)]|[①-⑳]|[-ㆍ·ᆞ•‧∙・○●□■※*])+"
-    key = rf"regexp_replace(regexp_replace(regexp_extract({half('item_name')}, '([^>]*)$', 1), '{BLANKS}', '', 'g'), '{lead}', '')"
+    key = label_key_sql()
     tight = rf"regexp_replace({half('item_value')}, '[\s,]+', '', 'g')"
     shape = "^(?:([0-9]+)조)?(?:([0-9]+)억)?(?:([0-9]+)만)?([0-9]+)?(?:원|주|명|개|건|회)?$"
     part = lambda k: f"coalesce(try_cast(regexp_extract(t, '{shape}', {k}) AS HUGEINT), 0)"
